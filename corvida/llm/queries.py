@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
-from corvida.llm import lookalike
+from pyspark.sql import functions as F
+
+from corvida.llm import lookalike, mixing, sentences, splitting, tokenise
 from corvida.session import load, written
 
 
 def _p1_rows(spark, d):
-    return lookalike.records(load(spark, d, "chunks"), "chunks", "chunk_hash", "raw_hash", "text").unionByName(lookalike.records(load(spark, d, "xlsx_sheets"), "xlsx_sheets", "sheet_id", "raw_hash", "sheet_name"))
+    chunks = lookalike.records(load(spark, d, "chunks"), "chunks", "chunk_hash", "raw_hash", "text")
+    return chunks.unionByName(lookalike.records(load(spark, d, "xlsx_sheets"), "xlsx_sheets", "sheet_id", "raw_hash", "sheet_name"))
 
 
 def p1_found(spark, d):
-    forms = lookalike.repaired(_p1_rows(spark, d))
-    return lookalike.equal_looking(written(forms, "p1"))
+    return lookalike.equal_looking(written(lookalike.repaired(_p1_rows(spark, d)), "p1"))
 
 
 def p1_forms(spark, d):
     return lookalike.repaired(_p1_rows(spark, d)).select("record_table", "record_key", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
-SQL = {}
+def p3_pieces(spark, d):
+    return splitting.split_oversized(load(spark, d, "chunks"), load(spark, d, "chunking_configs"))
+
+
+def p3_found(spark, d):
+    return p3_pieces(spark, d).where("piece_no = 0").select("chunk_hash")
+
+
+def p7_ids(spark, d):
+    return tokenise.token_ids(load(spark, d, "documents"))
+
+
+def p7_roundtrip(spark, d):
+    return tokenise.round_trip(load(spark, d, "documents"))
+
+
+def _p8(spark, d):
+    docs = load(spark, d, "documents").where("source is not null and text is not null and text <> ''").select("doc_id", "source", "text", mixing.letter_share(F.col("text")).alias("letters"))
+    counted = tokenise.token_counts(docs, ["doc_id", "source", "letters"]).where("n_tokens > 0").dropDuplicates(["doc_id"])
+    sizes = written(counted.select("doc_id", "source", "n_tokens", mixing.quality_weight(F.col("letters"), F.col("n_tokens")).alias("weight")), "p8")
+    plan = mixing.budgets(sizes, load(spark, d, "mix_targets"))
+    return mixing.draw(sizes, plan), plan
+
+
+def p8_mix(spark, d):
+    return _p8(spark, d)[0]
+
+
+def p8_shares(spark, d):
+    return mixing.shares(*_p8(spark, d))
+
+
+def p9_found(spark, d):
+    return p9_sentences(spark, d).select("doc_id", "sent_end")
+
+
+def p9_sentences(spark, d):
+    return sentences.sentences(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_pieces, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
+SQL = {
+    "p3_found": """
+        SELECT DISTINCT c.chunk_hash FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
+        WHERE length(c.text) > g.max_chars""",
+}
