@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvida.llm import lookalike, mixing, sentences, splitting, tokenise
+from corvida.llm import lookalike, mixing, neighbours, sentences, splitting, tokenise
 from corvida.session import load, written
 
 
@@ -21,6 +21,14 @@ def p1_forms(spark, d):
     return lookalike.repaired(_p1_rows(spark, d)).select("record_table", "record_key", "form")
 
 
+def p2_nearest(spark, d):
+    return neighbours.nearest(load(spark, d, "chunk_embeddings"))
+
+
+def p2_found(spark, d):
+    return neighbours.similar_pairs(p2_nearest(spark, d))
+
+
 def p3_pieces(spark, d):
     return splitting.split_oversized(load(spark, d, "chunks"), load(spark, d, "chunking_configs"))
 
@@ -61,7 +69,7 @@ def p9_sentences(spark, d):
     return sentences.sentences(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p3_found, p3_pieces, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
 SQL = {
     "p3_found": """
         SELECT DISTINCT c.chunk_hash FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
