@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvida.llm import lookalike, mixing, neighbours, sentences, splitting, tokenise
+from corvida.llm import lookalike, mixing, neardup, neighbours, sentences, splitting, tokenise
 from corvida.session import load, written
 
 
@@ -37,6 +37,18 @@ def p3_found(spark, d):
     return p3_pieces(spark, d).where("piece_no = 0").select("chunk_hash")
 
 
+def _p6_records(spark, d):
+    return load(spark, d, "chunks").select(F.col("chunk_hash").alias("record"), F.col("raw_hash").alias("grp"), "text")
+
+
+def p6_found(spark, d):
+    return neardup.record_pairs(*neardup.near_duplicates(_p6_records(spark, d))).select(F.col("p").alias("chunk_hash_a"), F.col("q").alias("chunk_hash_b"))
+
+
+def p6_groups(spark, d):
+    return neardup.groups(*neardup.near_duplicates(_p6_records(spark, d))).withColumnRenamed("record", "chunk_hash")
+
+
 def p7_ids(spark, d):
     return tokenise.token_ids(load(spark, d, "documents"))
 
@@ -69,7 +81,7 @@ def p9_sentences(spark, d):
     return sentences.sentences(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
 SQL = {
     "p3_found": """
         SELECT DISTINCT c.chunk_hash FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
