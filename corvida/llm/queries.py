@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvida.llm import lookalike, mixing, neardup, neighbours, sentences, splitting, tokenise
+from corvida.llm import lookalike, mixing, neardup, neighbours, scans, sentences, splitting, tokenise
 from corvida.session import load, written
 
 
@@ -37,6 +37,20 @@ def p3_found(spark, d):
     return p3_pieces(spark, d).where("piece_no = 0").select("chunk_hash")
 
 
+def p5_repaired(spark, d):
+    chunks = load(spark, d, "chunks")
+    page = F.col("unit_key").startswith("page:")
+    pages = chunks.where(page).select(F.lit("chunks").alias("record_table"), F.col("chunk_hash").alias("record_key"), "text")
+    images = load(spark, d, "page_images").select(F.lit("page_images").alias("record_table"), F.col("image_hash").alias("record_key"), F.col("visible_text").alias("text"))
+    clean = chunks.where(~page).select(F.col("chunk_hash").alias("record_key"), "text")
+    titles = chunks.select(F.explode("heading_path").alias("text")).where("text is not null")
+    return scans.repair_pages(pages.unionByName(images), clean, titles)
+
+
+def p5_found(spark, d):
+    return p5_repaired(spark, d).select("record_table", "record_key")
+
+
 def _p6_records(spark, d):
     return load(spark, d, "chunks").select(F.col("chunk_hash").alias("record"), F.col("raw_hash").alias("grp"), "text")
 
@@ -81,7 +95,7 @@ def p9_sentences(spark, d):
     return sentences.sentences(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
 SQL = {
     "p3_found": """
         SELECT DISTINCT c.chunk_hash FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
