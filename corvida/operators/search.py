@@ -74,9 +74,9 @@ def short_lane(rows: DataFrame, queries: dict[str, list[list[str]]], k: int = 10
             for f in forms:
                 one = one | F.col("body").contains(f.lower())
             ok = ok & one
-        each.append(F.struct(F.lit(q).alias("query_id"), ok.alias("ok"), F.instr("body", tokens[0][0].lower()).alias("at")))
-    flat = rows.select("scope_id", "chunk_hash", F.explode(F.array(*each)).alias("s")).where("s.ok").select("scope_id", "chunk_hash", "s.query_id", "s.at")
-    return ranked(flat, ["at", "scope_id", "chunk_hash"], k)
+        each.append(F.struct(F.lit(q).alias("query_id"), ok.alias("ok"), F.instr("body", tokens[0][0].lower()).alias("pos")))
+    flat = rows.select("scope_id", "chunk_hash", F.explode(F.array(*each)).alias("s")).where("s.ok").select("scope_id", "chunk_hash", "s.query_id", "s.pos")
+    return ranked(flat, ["pos", "scope_id", "chunk_hash"], k)
 
 
 def knn(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
