@@ -41,17 +41,17 @@ def shingles(text: str) -> set[str]:
 
 
 def _hashes(text: str) -> np.ndarray:
-    """A 32-bit hash of each run of SHINGLE characters."""
+    """A 64-bit hash of each run of SHINGLE characters."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     n = len(codes) - SHINGLE + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for j, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
         h += codes[j : j + n] * np.uint64(odd)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return h
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -61,7 +61,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     while at < len(texts):
         parts, size, end = [], 0, at
         while end < len(texts) and (size < 1 << 15 or end == at):
-            parts.append(np.unique(_hashes(texts[end])))
+            parts.append(np.unique((_hashes(texts[end]) >> np.uint64(32)).astype(np.uint32)))
             size += len(parts[-1])
             end += 1
         flat, starts = np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
@@ -162,13 +162,21 @@ def similar_classes(signed: DataFrame, records: DataFrame, threshold: float) ->
     def verify(batches):
         for batch in batches:
             keep, sizes = [], []
-            last, sa = None, set()
+            last, na, ha = None, "", np.zeros(0, np.uint64)
             for x, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if x != last:
-                    last, sa = x, shingles(normalise(ta))
-                sb = shingles(normalise(tb))
-                common = len(sa & sb)
-                union = len(sa) + len(sb) - common
+                    last, na = x, normalise(ta)
+                    ha = np.unique(_hashes(na))
+                nb = normalise(tb)
+                hb = np.unique(_hashes(nb))
+                both_ = np.concatenate([ha, hb])
+                both_.sort()
+                common = int(np.count_nonzero(both_[1:] == both_[:-1]))
+                union = len(ha) + len(hb) - common
+                if common * low >= (top - 10) * union:  # hashes settle what is clearly below; the rest is compared as text
+                    sa, sb = shingles(na), shingles(nb)
+                    common = len(sa & sb)
+                    union = len(sa) + len(sb) - common
                 keep.append(common * low >= top * union)
                 sizes.append(common / union if union else 1.0)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.float64())], names=["a", "b", "similarity"])
