@@ -60,7 +60,8 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 def drop_written(spark: SparkSession) -> None:
     """Remove this library's tables from a local shared folder (tests and benchmarks)."""
     path = shared_dir(spark)
-    if path.startswith("file://") and os.path.isdir(path[7:]):
-        for entry in os.listdir(path[7:]):
+    local = path.removeprefix("file://")
+    if os.path.isdir(local):
+        for entry in os.listdir(local):
             if entry.startswith("corvida-"):
-                shutil.rmtree(os.path.join(path[7:], entry), ignore_errors=True)
+                shutil.rmtree(os.path.join(local, entry), ignore_errors=True)
