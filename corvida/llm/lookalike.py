@@ -75,6 +75,21 @@ def fold_char(ch: str) -> str:
     return ch
 
 
+class _Table(dict):
+    """A translation table that fills itself: each character is decided once, later ones are plain lookups."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.of(chr(code))
+        return out
+
+
+_FOLD = _Table(fold_char)
+
+
 def fold(text: str) -> str:
     """Step 1. Joiners that shape emoji and scripts that need them stay, since they show."""
     if text.isascii() and "\r" not in text and "\t" not in text:
@@ -82,7 +97,7 @@ def fold(text: str) -> str:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if ZWJ in text or ZWNJ in text:
         text = _JOINED.sub(lambda m: _KEEP_ZWJ if m[0] == ZWJ else _KEEP_ZWNJ, text)
-    text = "".join(map(fold_char, text))
+    text = text.translate(_FOLD)
     if _KEEP_ZWJ in text or _KEEP_ZWNJ in text:
         text = text.replace(_KEEP_ZWJ, ZWJ).replace(_KEEP_ZWNJ, ZWNJ)
     return unicodedata.normalize("NFC", text)
