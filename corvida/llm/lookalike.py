@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvida.session import written
+
 # Cyrillic and Greek letters and the Latin letter each looks like.
 TO_LATIN = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "У": "Y",
@@ -180,38 +182,33 @@ def pieces(folded: str) -> list[tuple[int, int, str, list[str]]]:
     return sorted(out)
 
 
-FOLDED = T.StructType([T.StructField("form", T.StringType()), T.StructField("parts", T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("t", T.StringType())])))])
+FOLDED = T.StructType([T.StructField("form", T.StringType()), T.StructField("parts", T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("t", T.StringType()), T.StructField("o", T.ArrayType(T.StringType()))])))])
 
 
 def records(df: DataFrame, table: str, key: str, group: str, text: str) -> DataFrame:
+    """record_table, record_key, grp, txt: one row per key."""
     return df.select(F.lit(table).alias("record_table"), F.col(key).cast("string").alias("record_key"), F.col(group).cast("string").alias("grp"), F.col(text).alias("txt")).dropDuplicates(["record_table", "record_key"])
 
 
 def _vocabulary_pass(batches):
-    """Distinct tokens of each batch ('v') and the readings in question ('s')."""
+    """How many texts of each batch hold each token; text before and after tokens in doubt comes as it is."""
     for batch in batches:
-        words, asked = {}, set()
-        for text in batch.column("txt").to_pylist():
-            if text is None:
-                continue
-            folded = fold(text)
-            for _, _, default, options in pieces(folded):
-                if len(options) > 1:
-                    asked.update((default, o) for o in options)
-            for w in set(_TOKEN.findall(folded)) | set(_CJK.findall(folded)):
-                words[w] = words.get(w, 0) + 1
-        v = list(words.items())
-        yield pa.RecordBatch.from_pydict(
-            {"kind": ["v"] * len(v) + ["s"] * len(asked), "default": [None] * len(v) + [a for a, _ in asked], "word": [w for w, _ in v] + [b for _, b in asked], "n": [n for _, n in v] + [0] * len(asked)},
-            schema=pa.schema([("kind", pa.string()), ("default", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
-        )
-
-
-def decide(rows: DataFrame) -> DataFrame:
-    """Step 2's vocabulary: for each token in doubt the reading that most rows hold (default where none does)."""
-    seen = rows.select("txt").mapInArrow(_vocabulary_pass, "kind string, default string, word string, n bigint")
-    asked = seen.where("kind = 's'").select("default", "word").distinct()
-    counted = seen.where("kind = 'v'").groupBy("word").agg(F.sum("n").alias("n"))
+        words: dict[str, int] = {}
+        for form, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in [form, *(p["a"] for p in parts or ())]:
+                if text:
+                    found = set(_TOKEN.findall(text))
+                    if not text.isascii():
+                        found.update(_CJK.findall(text))
+                    for w in found:
+                        words[w] = words.get(w, 0) + 1
+        yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+
+
+def decide(base: DataFrame) -> DataFrame:
+    """Step 2's vocabulary: for each token in doubt the reading that most texts hold (default where none does)."""
+    asked = base.where("parts is not null").select(F.explode("parts").alias("p")).select(F.col("p.t").alias("default"), F.explode("p.o").alias("word")).distinct()
+    counted = base.select(F.coalesce("form", "txt").alias("form"), "parts").mapInArrow(_vocabulary_pass, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return (
         asked.join(counted, "word")
         .groupBy("default")
@@ -232,11 +229,12 @@ def _fold_udf(texts: pd.Series) -> pd.DataFrame:
         for start, end, default, options in pieces(folded):
             out += [folded[at:start], default]
             if len(options) > 1:
-                open_.append({"a": "".join(out[:-1]), "t": default})
+                open_.append({"a": "".join(out[:-1]), "t": default, "o": options})
                 out = []
             at = end
         out.append(folded[at:])
-        forms.append("".join(out))  # where tokens are open: what follows the last of them
+        form = "".join(out)  # where tokens are open: what follows the last of them
+        forms.append(None if form == text and not open_ else form)  # null: the text is its own form
         parts.append(open_ or None)
     return pd.DataFrame({"form": forms, "parts": parts})
 
@@ -244,15 +242,16 @@ def _fold_udf(texts: pd.Series) -> pd.DataFrame:
 def repaired(rows: DataFrame) -> DataFrame:
     """record_table, record_key, grp, txt and the repaired ``form``.
 
+    Each text is folded once; the result is written, as the vocabulary and the repair both read it.
     Defined cases: null text has a null form and stays; empty text is its own form; one row per
     (record_table, record_key), redelivered rows count once; very long texts are processed whole.
     """
-    base = rows.withColumn("f", _fold_udf("txt")).select("record_table", "record_key", "grp", "txt", "f.form", "f.parts")
-    closed = base.where("parts is null").drop("parts")
+    base = written(rows.withColumn("f", _fold_udf("txt")).select("record_table", "record_key", "grp", "txt", "f.form", "f.parts"), "p1base")
+    closed = base.where("parts is null").select("record_table", "record_key", "grp", "txt", F.coalesce("form", "txt").alias("form"))
     opened = base.where("parts is not null")
     spread = opened.select("record_table", "record_key", F.posexplode("parts").alias("i", "p")).select("record_table", "record_key", "i", "p.a", F.col("p.t").alias("default"))
     read = (
-        spread.join(decide(rows), "default", "left")
+        spread.join(decide(base), "default", "left")
         .groupBy("record_table", "record_key")
         .agg(F.array_sort(F.collect_list(F.struct("i", F.concat("a", F.coalesce("reading", "default")).alias("s")))).alias("l"))
     )
@@ -264,16 +263,14 @@ def repaired(rows: DataFrame) -> DataFrame:
 def equal_looking(forms: DataFrame) -> DataFrame:
     """Pairs of records of one group whose forms agree and whose texts do not, smaller key first.
 
-    Copies of one string are grouped first, so a hot group costs its distinct strings and its true pairs only.
-    Rows with a null group or text take part in no pair.
+    Only 256-bit digests travel. Copies of one string are grouped first, so a hot group costs its distinct
+    strings and its true pairs only. Rows with a null group or text take part in no pair.
     """
-    strings = forms.where("grp is not null and txt is not null").select("record_table", "grp", F.xxhash64("form").alias("h"), F.sha2("txt", 256).alias("t"), "form", "record_key")
-    variants = strings.groupBy("record_table", "grp", "h", "t").agg(F.first("form").alias("form"))
-    a, b = variants.alias("a"), variants.alias("b")
-    pairs = a.join(b, ["record_table", "grp", "h"]).where("a.t < b.t and a.form = b.form").select("record_table", "grp", "h", F.col("a.t").alias("ta"), F.col("b.t").alias("tb"))
-    who = strings.select("record_table", "grp", "t", "record_key")
-    return (
-        pairs.join(who.select("record_table", "grp", F.col("t").alias("ta"), F.col("record_key").alias("x")), ["record_table", "grp", "ta"])
-        .join(who.select("record_table", "grp", F.col("t").alias("tb"), F.col("record_key").alias("y")), ["record_table", "grp", "tb"])
-        .select("record_table", F.least("x", "y").alias("record_key_a"), F.greatest("x", "y").alias("record_key_b"))
-    )
+    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
+    strings = written(forms.where("grp is not null and txt is not null").select("record_table", "grp", digest("form").alias("h"), digest("txt").alias("t"), "record_key"), "p1")
+    variants = strings.select("record_table", "grp", "h", "t").distinct()
+    several = variants.groupBy("record_table", "grp", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    who = strings.select("record_table", "grp", "h", "t", "record_key").join(several, ["record_table", "grp", "h"], "left_semi")
+    x, y = who.alias("x"), who.alias("y")
+    same = (F.col("x.record_table") == F.col("y.record_table")) & (F.col("x.grp") == F.col("y.grp")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.t") < F.col("y.t"))
+    return x.join(y, same).select("x.record_table", F.least("x.record_key", "y.record_key").alias("record_key_a"), F.greatest("x.record_key", "y.record_key").alias("record_key_b"))
