@@ -32,6 +32,7 @@ from corvida.session import written
 
 TRAIN, MOST_BROADCAST = 20000, 200_000
 SURE_WORD, SURE_LINE = 0.8, 0.75
+VARIANT = 20  # a look-alike form this much rarer than the common one is no word of its own
 EDGE, LINE = 3, 80
 BREAKS = "-" + chr(0xAC) + chr(0x2010) + chr(0xAD)
 
@@ -41,9 +42,9 @@ _WORD = regex.compile(r"(?<![\p{L}\p{N}\-])(?:[\p{Latin}\p{Greek}\p{M}\p{N}†|$
 _SPECK = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])[.'`,^_~*\"](?=\n?[\p{Han}\p{Hiragana}\p{Katakana}ー])")
 _COMPOUND = regex.compile(r"(?<!\S)\p{Ll}+-\p{Ll}+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+")
+_WINDOW = regex.compile(r"(?:\^|[\p{Han}\p{Hiragana}\p{Katakana}ー])[\p{Han}\p{Hiragana}\p{Katakana}ー](?:\$|[\p{Han}\p{Hiragana}\p{Katakana}ー])")
 _SCRIPTS = regex.compile(r"\p{Latin}+|[\p{Katakana}ー]+|\p{Han}+|\p{Hiragana}+|\d+|\S")
 _DIGITS = regex.compile(r"\d+")
-KANA = lookalike._Table(lambda ch: lookalike.HAN_KANA.get(ch, ch))
 SKELETON = lookalike._Table(lambda ch: lookalike.TO_LATIN.get(ch, ch))
 
 
@@ -53,7 +54,7 @@ def _plain(text: str) -> str:
 
 
 def flat(text: str) -> str:
-    """The text as tokens see it: look-alikes folded (they are no faults of recognition), lower case."""
+    """The text as tokens see it: Greek and Cyrillic look-alikes folded (they are no faults of recognition), lower case."""
     breaks = [ch for ch in BREAKS[1:] if ch in text]
     for ch in breaks:  # soft hyphens show at a line end; folding would drop them
         text = text.replace(ch + "\n", "-\n").replace(ch + "\r\n", "-\n")
@@ -61,7 +62,10 @@ def flat(text: str) -> str:
 
 
 def tokens(text: str) -> set[str]:
-    """Words, compounds and three-character windows of a folded text, words broken at a line end joined."""
+    """Words, compounds and three-character windows of a folded text, words broken at a line end joined.
+
+    Windows show the text's own characters: a katakana misread as the ideograph it looks like is a fault of the scan.
+    """
     if "-" in text and "\n" in text:
         text = _BREAK.sub("", text)
     out = {w for w in set(_WORD.findall(text)) if not w.isdigit() and any(map(str.isalpha, w)) and not w.strip("|") != w or (w[0] == "|" or w[-1] == "|") and len(w) > 2}
@@ -69,13 +73,18 @@ def tokens(text: str) -> set[str]:
     if not text.isascii():
         out.update("~" + p for p in _SPECK.findall(text))
         for m in _CJK.finditer(_SPECK.sub("", text).replace("\n", "")):
-            s = m[0].translate(KANA)
-            out.update(s[i : i + 3] for i in range(len(s) - 2))
+            out.update(windows(m[0]))
     return out
 
 
+def windows(run: str) -> list[str]:
+    """One window for each character of a run, the character in its middle; ^ and $ stand for the run's borders."""
+    s = f"^{run}$"
+    return [s[i : i + 3] for i in range(len(run))]
+
+
 def is_window(token: str) -> bool:
-    return len(token) == 3 and bool(_CJK.fullmatch(token))
+    return len(token) == 3 and bool(_WINDOW.fullmatch(token))
 
 
 def templates(line: str) -> list[str]:
@@ -177,6 +186,18 @@ def edits(wrong: str, right: str) -> list[tuple[str, str]]:
     return [(right[a:b], wrong[c:d]) for tag, a, b, c, d in sm.get_opcodes() if tag != "equal"]
 
 
+def swapped(counts: DataFrame) -> DataFrame:
+    """token, replacement: page windows whose middle is a look-alike of the one that clean texts have far more often.
+
+    The ranking counts in how many windows an edit is seen; a look-alike may sit in a few words only, on many pages.
+    """
+    han, kana = "".join(lookalike.HAN_KANA), "".join(lookalike.HAN_KANA.values())
+    alike = counts.where((F.char_length("token") == 3) & F.col("token").rlike(f"[{han}{kana}]")).withColumn("looks", F.translate("token", han, kana))
+    top = alike.groupBy("looks").agg(F.max(F.struct("n_clean", F.col("token").alias("replacement"))).alias("top")).select("looks", "top.*").withColumnRenamed("n_clean", "most")
+    far = F.col("most") >= VARIANT * F.greatest(F.col("n_clean"), F.lit(1))
+    return alike.where("n_page > 0").join(top, "looks").where(far & (F.substring("token", 2, 1) != F.substring("replacement", 2, 1))).select("token", "replacement")
+
+
 def candidates(counts: DataFrame) -> DataFrame:
     """asked (token), real (asked of a page token rather than of a rare clean one), answer, n_answer, ops, distance; written."""
     word = F.char_length("token") >= 3
@@ -221,8 +242,8 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 
 def word_features(p: pd.DataFrame) -> np.ndarray:
-    odd = p["asked"].map(lambda w: float(any(not ch.isalpha() for ch in w)))
-    window = p["asked"].map(lambda w: float(is_window(w)))
+    odd = p["asked"].map(lambda w: float(not is_window(w) and any(not ch.isalpha() for ch in w)))
+    window = p["asked"].map(lambda w: float(len(w.strip("^$"))) if is_window(w) else 0.0)  # characters: less context at a border
     return np.stack([p["least"], p["total"], np.log1p(p["seen"]), p["n_ops"], np.log1p(p["n_answer"]), p["answer"].str.len(), p["shared"] / p["answer"].str.len(), odd, window], axis=1).astype(float)
 
 
@@ -244,7 +265,9 @@ def corrections(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     real = feats.where("real = 1").mapInPandas(rank, "asked string, answer string, sure double, total double, n_answer bigint")
     specks = counts.where(F.col("token").startswith("~") & (F.col("n_page") > 20 * F.col("n_clean"))).select("token", F.lit("").alias("replacement"))
     best = real.groupBy("asked").agg(F.max_by(F.struct("answer", "sure"), F.struct("sure", "total", "n_answer", "answer")).alias("b"))
-    return written(best.where(F.col("b.sure") >= SURE_WORD).select(F.col("asked").alias("token"), F.col("b.answer").alias("replacement")).unionByName(specks), "p5words")
+    alike = written(swapped(counts), "p5alike")
+    ranked = best.where(F.col("b.sure") >= SURE_WORD).select(F.col("asked").alias("token"), F.col("b.answer").alias("replacement")).join(alike, "token", "left_anti")
+    return written(ranked.unionByName(alike).unionByName(specks), "p5words")
 
 
 # ---------------------------------------------------------------- lines
@@ -390,8 +413,7 @@ def repair(text: str, words: dict[str, str], keep_hyphen: set[tuple[str, str]],
             low = _SPECK.sub(speck, low)
             solid, hits = low.replace("\n", ""), []
             for m in _CJK.finditer(solid):
-                t = m[0].translate(KANA)
-                hits += [(m.start() + i + 1, words[t[i : i + 3]]) for i in range(len(t) - 2) if t[i : i + 3] in words]
+                hits += [(m.start() + i, words[w]) for i, w in enumerate(windows(m[0])) if w in words]
             if hits:
                 kinds.add("misread")
                 out, place = list(low), [i for i, ch in enumerate(low) if ch != "\n"]

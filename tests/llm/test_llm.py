@@ -116,6 +116,24 @@ def test_scans(spark):
     assert scans.repair_pages(p.limit(0), c, titles).count() == 0
 
 
+def test_scans_find_look_alikes_and_characters_at_borders(spark):
+    rng = random.Random(5)
+    words = "カタログ 温度ロガー 点検記録 保守計画 在庫 棚卸表 年度予算 復旧手順".split()
+    line = lambda: " ".join(rng.choices(words, k=8)) + "。"
+    clean = [(f"c{i}", line()) for i in range(300)] + [("odd", "カタ口グ 在庫。")]
+    faults = {"カタログ": "カタ口グ", "温度ロガー": "温度口ガー", "在庫": "在厙", "棚卸表": "柵卸表", "点検記録": "点検記緑"}
+    pages, bad = [], set()
+    for i in range(150):
+        text = line()
+        right, wrong = list(faults.items())[i % 5]
+        if i % 2 == 0 and right in text:
+            text = text.replace(right, wrong, 1)
+            bad.add(f"p{i}")
+        pages.append(("t", f"p{i}", text))
+    got = {r.record_key: r for r in scans.repair_pages(rows(spark, pages, "record_table string, record_key string, text string"), rows(spark, clean, "record_key string, text string"), rows(spark, [("見出し",)], "text string")).collect()}
+    assert got.keys() == bad and not any(w in r.repaired for r in got.values() for w in faults.values())
+
+
 # 6
 
 
