@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,72 @@ def introductions(bindings: DataFrame, links: DataFrame) -> DataFrame:
     return b.join(in_parent, ["commit_hash", "path", "raw_hash"], "left_anti")
 
 
+def _lines(commits: DataFrame) -> DataFrame:
+    """commit_hash, parents, part: scopes joined by a parent link are one part, so all ancestors of a commit lie in its part."""
+    c = commits.dropDuplicates(["commit_hash"]).select("commit_hash", "parents", F.coalesce("scope_id", F.lit("")).alias("part"))
+    ends = c.select(F.col("part").alias("a"), F.explode("parents").alias("parent")).join(c.select(F.col("commit_hash").alias("parent"), F.col("part").alias("b")), "parent")
+    least: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while x in least:
+            x = least[x]
+        return x
+
+    for r in ends.where("a <> b").select("a", "b").distinct().collect():  # pairs of scopes, not commits
+        a, b = sorted((root(r.a), root(r.b)))
+        if a != b:
+            least[b] = a
+    if not least:
+        return c
+    merged = commits.sparkSession.createDataFrame([(x, root(x)) for x in least], "part string, whole string")
+    return c.join(merged, "part", "left").select("commit_hash", "parents", F.coalesce("whole", "part").alias("part"))
+
+
+def ancestor_most(candidates: DataFrame, commits: DataFrame) -> DataFrame:
+    """Candidates (commit_hash, path, raw_hash) without another candidate of the same path and raw_hash among their ancestors.
+
+    One pass over each part of the graph, parents first; a commit carries one bit for each binding that an ancestor
+    introduced. Parents outside the archive do not count; candidates of unknown commits stay.
+    """
+    nodes = _lines(commits)
+    placed = written(candidates.select("commit_hash", "path", "raw_hash").join(nodes.select("commit_hash", "part"), "commit_hash", "left"), "placed")
+
+    def keep(graph: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(found):
+            return found[["commit_hash", "path", "raw_hash"]]
+        code = found.groupby(["path", "raw_hash"], sort=False).ngroup().tolist()
+        own: dict[str, int] = {}
+        for commit, bit in zip(found["commit_hash"], code):
+            own[commit] = own.get(commit, 0) | 1 << bit
+        known = set(graph["commit_hash"])
+        parents = {c: {p for p in (ps if ps is not None else ()) if p in known} for c, ps in zip(graph["commit_hash"], graph["parents"])}
+        children: dict[str, list[str]] = {}
+        for c, ps in parents.items():
+            for p in ps:
+                children.setdefault(p, []).append(c)
+        waiting = {c: len(ps) for c, ps in parents.items()}
+        ready, above, clash, done = [c for c, n in waiting.items() if not n], {}, {}, 0
+        while ready:
+            c = ready.pop()
+            done += 1
+            inherited = above.pop(c, 0)
+            if c in own:
+                clash[c] = inherited & own[c]
+            below = inherited | own.get(c, 0)
+            for child in children.get(c, ()):
+                above[child] = above.get(child, 0) | below
+                waiting[child] -= 1
+                if not waiting[child]:
+                    ready.append(child)
+        if done < len(parents):
+            raise ValueError("the commit graph has a cycle")
+        first = [not clash[c] >> bit & 1 for c, bit in zip(found["commit_hash"], code)]
+        return found.loc[first, ["commit_hash", "path", "raw_hash"]]
+
+    inside = nodes.groupBy("part").cogroup(placed.where("part is not null").groupBy("part")).applyInPandas(keep, "commit_hash string, path string, raw_hash string")
+    return inside.unionByName(placed.where("part is null").drop("part"))
+
+
 def newest_bindings(bindings: DataFrame, line: DataFrame) -> DataFrame:
     """The newest binding of each path along a first-parent line (start, commit, depth): smallest depth, then raw_hash."""
     at = line.join(bindings, F.col("commit") == F.col("commit_hash"))

@@ -33,7 +33,9 @@ def all_parent_closure(spark, d):
 
 
 def introductions(spark, d):
-    b = history.introductions(_bindings(spark, d), history.edges(_commits(spark, d)))
+    """Ancestor-most introductions of each binding; canonical is the smallest hash among them."""
+    c = _commits(spark, d)
+    b = history.ancestor_most(history.introductions(_bindings(spark, d), history.edges(c)), c)
     return b.groupBy("path", "raw_hash").agg(F.count("*").alias("n"), F.min("commit_hash").alias("canonical"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import ids, text, vectors
 from corvida.operators import chunking, history, ledger, lifecycle, orphans, search
+from corvida.plans import archive_queries
 from corvida.sources import files
 from corvida.streaming import metrics
 
@@ -102,6 +103,19 @@ def test_history_on_a_merge_graph(spark):
     assert {(r.path, r.state) for r in history.changes(old, new, ["path"]).collect()} == {("p", "unchanged"), ("q", "modified"), ("r", "deleted"), ("s", "added")}
 
 
+def test_ancestor_most_introductions(spark):
+    # a - b - c - d on one line; x is another root, z in a second scope has its parent in the first
+    c = spark.createDataFrame([("k", "s", []), ("b", "s", ["k"]), ("a", "s", ["b"]), ("d", "s", ["a", "gone"]), ("x", "s", []), ("0", "t", ["d"])], "commit_hash string, scope_id string, parents array<string>")
+    found = spark.createDataFrame([("k", "p", "1"), ("a", "p", "1"), ("0", "p", "1"), ("x", "p", "1"), ("a", "q", "1"), ("far", "p", "1")], "commit_hash string, path string, raw_hash string")
+    assert {(r.commit_hash, r.path) for r in history.ancestor_most(found, c).collect()} == {("k", "p"), ("x", "p"), ("a", "q"), ("far", "p")}
+
+
+def test_introductions_take_the_ancestor_most(spark, tmp_path):
+    spark.createDataFrame([("k", "s", []), ("b", "s", ["k"]), ("a", "s", ["b"])], "commit_hash string, scope_id string, parents array<string>").write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([("s", "k", "p", "1"), ("s", "b", "p", "2"), ("s", "a", "p", "1")], "scope_id string, commit_hash string, path_at_commit string, raw_hash string").write.parquet(f"{tmp_path}/evidence_pointers.parquet")
+    assert {(r.raw_hash, r.n, r.canonical) for r in archive_queries.introductions(spark, str(tmp_path)).collect()} == {("1", 1, "k"), ("2", 1, "b")}
+
+
 def test_lifecycle_and_ledger(spark):
     t = dt.datetime(2025, 1, 1)
     r = spark.createDataFrame([("s", "1", "purged", t), ("s", "1", "retired", t), ("s", "2", "purged", t), ("s", "2", "retired", t + dt.timedelta(1)), ("s", "3", None, None)], "scope_id string, raw_hash string, lifecycle_kind string, lifecycle_at timestamp_ntz")
