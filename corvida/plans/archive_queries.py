@@ -47,13 +47,13 @@ def newest_bindings(spark, d):
 def final_deleted(spark, d):
     """Paths bound on the first-parent line whose newest binding lies behind the head's own bindings."""
     n = newest_bindings(spark, d)
-    live = n.where("depth <= 3").select("start", "path")
-    return n.where("depth > 3").join(live, ["start", "path"], "left_anti").select("start", "path", "raw_hash")
+    live = n.where("depth = 0").select("start", "path")
+    return n.where("depth > 0").join(live, ["start", "path"], "left_anti").select("start", "path", "raw_hash")
 
 
 def include_deleted_union(spark, d):
     n = newest_bindings(spark, d)
-    live = n.where("depth <= 3").select("start", "raw_hash", F.lit("live").alias("kind"))
+    live = n.where("depth = 0").select("start", "raw_hash", F.lit("live").alias("kind"))
     gone = final_deleted(spark, d).select("start", "raw_hash", F.lit("deleted").alias("kind")).join(live.select("start", "raw_hash"), ["start", "raw_hash"], "left_anti")
     return live.unionByName(gone).distinct()
 

@@ -116,6 +116,13 @@ def test_introductions_take_the_ancestor_most(spark, tmp_path):
     assert {(r.raw_hash, r.n, r.canonical) for r in archive_queries.introductions(spark, str(tmp_path)).collect()} == {("1", 1, "k"), ("2", 1, "b")}
 
 
+def test_only_the_heads_own_bindings_are_live(spark, tmp_path):
+    spark.createDataFrame([("a", "s", []), ("b", "s", ["a"]), ("c", "s", ["b"])], "commit_hash string, scope_id string, parents array<string>").write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([("s", "a", "old", "1"), ("s", "b", "gone", "2"), ("s", "b", "kept", "3"), ("s", "c", "kept", "4")], "scope_id string, commit_hash string, path_at_commit string, raw_hash string").write.parquet(f"{tmp_path}/evidence_pointers.parquet")
+    assert {r.path for r in archive_queries.final_deleted(spark, str(tmp_path)).collect()} == {"old", "gone"}
+    assert {(r.raw_hash, r.kind) for r in archive_queries.include_deleted_union(spark, str(tmp_path)).collect()} == {("4", "live"), ("1", "deleted"), ("2", "deleted")}
+
+
 def test_lifecycle_and_ledger(spark):
     t = dt.datetime(2025, 1, 1)
     r = spark.createDataFrame([("s", "1", "purged", t), ("s", "1", "retired", t), ("s", "2", "purged", t), ("s", "2", "retired", t + dt.timedelta(1)), ("s", "3", None, None)], "scope_id string, raw_hash string, lifecycle_kind string, lifecycle_at timestamp_ntz")
