@@ -123,6 +123,12 @@ def test_only_the_heads_own_bindings_are_live(spark, tmp_path):
     assert {(r.raw_hash, r.kind) for r in archive_queries.include_deleted_union(spark, str(tmp_path)).collect()} == {("4", "live"), ("1", "deleted"), ("2", "deleted")}
 
 
+def test_upsert_merge_keeps_every_user(spark, tmp_path):
+    t = lambda n: dt.datetime(2024, 1, n)
+    spark.createDataFrame([(i, t(1 + i % 30), i % 12) for i in range(60)] + [(99, None, 77)], "event_id bigint, ts timestamp_ntz, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r.user_id, r.seen) for r in archive_queries.upsert_merge(spark, str(tmp_path)).collect()} == {(u, 48 + u) for u in range(12)} | {(77, 99)}
+
+
 def test_lifecycle_and_ledger(spark):
     t = dt.datetime(2025, 1, 1)
     r = spark.createDataFrame([("s", "1", "purged", t), ("s", "1", "retired", t), ("s", "2", "purged", t), ("s", "2", "retired", t + dt.timedelta(1)), ("s", "3", None, None)], "scope_id string, raw_hash string, lifecycle_kind string, lifecycle_at timestamp_ntz")
