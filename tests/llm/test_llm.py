@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvida.llm import lookalike, mixing, neardup, neighbours, scans, sentences, splitting, tokenise
+from corvida.llm import lookalike, mixing, neardup, neighbours, queries, scans, sentences, splitting, tokenise
 
 SPACES = {"nbsp": chr(0xA0), "zwsp": chr(0x200B), "zwj": chr(0x200D)}
 
@@ -200,6 +200,17 @@ def test_mixing_shares_and_caps(spark):
     assert mixing.draw(sizes.limit(0), mixing.budgets(sizes.limit(0), targets)).count() == 0
 
 
+def test_mixes_are_drawn_from_the_whole_corpus(spark, tmp_path):
+    docs = [(i, "big" if i % 2 else "other", "The archive keeps every inspection report of the quarter. " * 4) for i in range(80)] + [(999, "tiny", "One short note.")]
+    rows(spark, docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows(spark, [("m", "big", 0.3, 1), ("m", "other", 0.2, 1), ("m", "tiny", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    mix = queries.p8_mix(spark, str(tmp_path)).groupBy("source").agg(F.count("*").alias("n"), F.max("uses").alias("uses")).collect()
+    n = {r.source: r.n for r in mix}
+    assert n["big"] in (23, 24, 25) and n["other"] in (15, 16, 17) and n["tiny"] == 1 and {r.uses for r in mix if r.source == "tiny"} == {2}
+    out = {r.source: r for r in queries.p8_shares(spark, str(tmp_path)).collect()}
+    assert not out["tiny"].reached and out["tiny"].actual_share < 0.05 and out["tiny"].used_tokens == out["tiny"].budget
+
+
 # 9
 
 
