@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.functions.vectors import cosine
+from corvida.functions.vectors import cosine, is_usable
+from corvida.session import written
 
 K1, B, HEADING_WEIGHT = 1.2, 0.75, 0.3
 
@@ -88,6 +89,24 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(local, [F.desc("similarity"), "item"], k)
 
 
+def vector_lane(chunks: DataFrame, embeddings: DataFrame, text: DataFrame, k: int = 200) -> DataFrame:
+    """query_id, scope_id, chunk_hash, raw_hash, similarity, rank: chunks by cosine to the query's vector.
+
+    Only the cosine profile with the most chunk vectors counts, and vectors of its width. A query's vector is that of
+    its best text hit that has one; a query without such a hit has no vector lane. A chunk with several vectors
+    (contexts) counts by the nearest.
+    """
+    v = embeddings.where("target_type = 'chunk' and distance = 'cosine'").where(is_usable(F.col("vector"), F.col("dimensions")))
+    profile = v.groupBy("profile_hash").count().orderBy(F.desc("count"), "profile_hash").limit(1).select("profile_hash")
+    v = written(v.join(F.broadcast(profile), "profile_hash", "left_semi").select(F.col("target_id").alias("text_hash"), "vector").distinct(), "vectors")
+    held = chunks.where("text is not null").select("text_hash", "scope_id", "chunk_hash", "raw_hash")
+    asked = text.select("query_id", "chunk_hash", "rank").join(held.select("chunk_hash", "text_hash"), "chunk_hash").join(v, "text_hash")
+    q = asked.groupBy("query_id").agg(F.min_by("vector", F.struct("rank", "vector")).alias("q"))
+    near = v.crossJoin(F.broadcast(q)).select("query_id", "text_hash", F.round(cosine(F.col("vector"), F.col("q")), 9).alias("similarity"))
+    best = near.groupBy("query_id", "text_hash").agg(F.max("similarity").alias("similarity")).join(held, "text_hash")
+    return ranked(best.select("query_id", "scope_id", "chunk_hash", "raw_hash", "similarity"), [F.desc("similarity"), "scope_id", "chunk_hash"], k)
+
+
 def reciprocal_rank_fusion(text: DataFrame, vector: DataFrame, key: str, k: int = 60, w_text: float = 1.0, w_vector: float = 1.0, depth: int = 200) -> DataFrame:
     """Full outer join of two ranked lists (query_id, key, rank); a missing rank counts nothing."""
     t = text.where(F.col("rank") <= depth).select("query_id", key, F.col("rank").alias("t_rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvida.operators import ledger, search
-from corvida.session import load
+from corvida.session import load, written
 
 PHRASES = {"q1": ["retention table"], "q2": ["rollback procedure", "復旧計画"], "q3": ["Wartung", "calibration sheet", "quarterly"]}
 SHORT = {"s1": [["計画"], ["3"]], "s2": [["No"], ["12", "11"]]}
@@ -83,12 +83,11 @@ def page_offset(spark, d):
 
 
 def hybrid_search(spark, d):
-    """Flagship: text lane and short lane over the archive's chunks, fused, capped per object."""
+    """Flagship: text lane and vector lane over the archive's chunks, fused, capped per object."""
     c = _chunks(spark, d)
-    rows = search.corpus(c)
-    text = search.bm25(rows, PHRASES, k=200)
-    other = search.bm25(rows, {q: [p[:5] for p in ps] for q, ps in PHRASES.items()}, k=200)
-    fused = search.reciprocal_rank_fusion(text, other, "chunk_hash").join(c.select("chunk_hash", "raw_hash", "scope_id"), "chunk_hash")
+    text = written(search.bm25(search.corpus(c), PHRASES, k=200), "text")
+    vector = search.vector_lane(c, load(spark, d, "chunk_embeddings"), text)
+    fused = search.reciprocal_rank_fusion(text, vector, "chunk_hash").join(c.select("chunk_hash", "raw_hash", "scope_id"), "chunk_hash")
     return search.page_of(search.cap_per_group(fused, "raw_hash", 3), 0, 10).select("query_id", "rank", "scope_id", "chunk_hash", "score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import ids, text, vectors
 from corvida.operators import chunking, history, ledger, lifecycle, orphans, search
-from corvida.plans import archive_queries
+from corvida.plans import archive_queries, search_queries
 from corvida.sources import files
 from corvida.streaming import metrics
 
@@ -91,6 +91,17 @@ def test_eligibility_lies_below_the_top_k(spark):
     assert {r.chunk_hash for r in got} == {"c6", "c7"}
 
 
+def test_hybrid_search_finds_what_only_a_vector_finds(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    data = [("s", f"c{i}", f"r{i}", at, t, [], f"t{i}") for i, t in enumerate(["the retention table of the archive", "how long records are kept", "lunch menu", "parking"])]
+    spark.createDataFrame(data, "scope_id string, chunk_hash string, raw_hash string, created_at timestamp_ntz, text string, heading_path array<string>, text_hash string").write.parquet(f"{tmp_path}/chunks.parquet")
+    v = [("t0", [1.0, 0.0], "p"), ("t1", [0.9, 0.1], "p"), ("t1", [-1.0, 0.0], "p"), ("t2", [0.0, 1.0], "p"), ("t3", [0.0, 0.0], "p"), ("t3", [1.0], "p"), ("t2", [1.0, 0.0], "o")]
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(v)], "vec_rowid bigint, target_id string, vector array<float>, profile_hash string")
+    e.select("*", F.lit("chunk").alias("target_type"), F.lit("cosine").alias("distance"), F.lit(2).alias("dimensions")).write.parquet(f"{tmp_path}/chunk_embeddings.parquet")
+    got = [r.chunk_hash for r in search_queries.hybrid_search(spark, str(tmp_path)).where("query_id = 'q1'").orderBy("rank").collect()]
+    assert got[:3] == ["c0", "c1", "c2"]
+
+
 def test_history_on_a_merge_graph(spark):
     c = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["a"]), ("m", ["b", "c"]), ("x", ["gone"])], "commit_hash string, parents array<string>")
     e = history.edges(c)
