@@ -7,22 +7,28 @@ Everything is learned from the corpus itself, by contrast with texts that were n
   a position). Edits between question and answer are counted for page tokens and for rare clean tokens that are
   put the same question; gradient-boosted trees learn to tell the two apart and rank the candidates. What looks
   like a rare clean word is left alone.
-* Lines. Lines at a page's edges are generalised into templates (digits masked, one word open) and compared
-  with lines elsewhere; a second boosted classifier, again page edges against clean lines, finds running headers
-  and page numbers. A third decides for a pair of lines parted by a hyphen whether the hyphen goes.
+* Lines. Lines at a page's edges are generalised into templates (digits masked, one word open) and counted at
+  edges, inside pages and in clean texts. Three boosted classifiers look at pairs of lines: whether an edge line
+  and its neighbour part at running header or page number, whether the hyphen between two lines goes, and whether
+  the line break between two lines stays.
 
-Bounded samples: each classifier is fitted on at most ``TRAIN`` rows, chosen by hash. Counts cover all texts.
+Words are matched on a folded shadow of the text, character for character as long as the text itself, and replaced
+in the text by position, so what is no fault keeps its characters.
+
+Bounded samples: each classifier is fitted on at most ``TRAIN`` rows, chosen by hash. Counts cover all texts. Edges
+are the first and last ``EDGE`` printed lines of a page; a template must stand at two edges to be running.
 """
 
 from __future__ import annotations
 
 import difflib
-import math
+import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,32 +39,65 @@ from corvida.session import written
 TRAIN, MOST_BROADCAST = 20000, 200_000
 SURE_WORD, SURE_LINE = 0.8, 0.75
 VARIANT = 20  # a look-alike form this much rarer than the common one is no word of its own
-EDGE, LINE = 3, 80
+EDGE = 3
 BREAKS = "-" + chr(0xAC) + chr(0x2010) + chr(0xAD)
+_LOWER = "a-zß-öø-ÿĀ-ɏḀ-ỿͰ-Ͽἀ-῾"
+_KANA = "ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ"
+_EAST = _KANA + "々〆㐀-䶿一-鿿豈-龎"
+# Further pairs of kana and ideographs or kana of two kinds that look alike.
+ALIKE = {"ー": "一", "へ": "ヘ", "り": "リ", "ハ": "八", "ミ": "三", "チ": "千"}
+
+_BROKEN = re.compile(rf"([^\W\d_]+)([{BREAKS}])[ \t]*\r?\n[ \t]*((?=[^\W\d_])[{_LOWER}а-џ][^\W\d_]*)")
+_BREAK = re.compile(rf"(?<=[^\W\d_])[{BREAKS}][ \t]*\r?\n[ \t]*(?=[{_LOWER}а-џ])")
+_WORD = re.compile(rf"(?<![\w\-])(?:[{_LOWER}\u0300-\u036f0-9†|$€§¢]|(?<=[{_LOWER}])[.'`](?=[{_LOWER}]{{2}})){{2,}}+(?!-?\d)(?![\u0400-\u04ff])")
+_SPECK = re.compile(rf"(?<=[{_EAST}])[.'`,^_~*\"](?=\n?[{_EAST}])")
+_COMPOUND = re.compile(rf"(?<!\S)[{_LOWER}]+-[{_LOWER}]+")
+_CJK = re.compile(rf"[{_EAST}]+")
+_WINDOW = re.compile(rf"(?:\^|[{_EAST}])[{_EAST}](?:\$|[{_EAST}])")
+_UNSEEN = re.compile(r"\u00ad(?![ \t]*\n)")
+PARTS = r"(\p{IsLatin}+|[\p{IsKatakana}ー]+|\p{IsHan}+|\p{IsHiragana}+|9|\S)"
+
+
+def _seen(ch: str) -> str:
+    return "" if ch != chr(0xAD) and unicodedata.category(ch) == "Cf" else ch
+
+
+def _shadow(ch: str) -> str:
+    """What a character counts as: width, blanks and look-alikes folded, lower case; always one character."""
+    one = lookalike.fold_char(ch)
+    one = one if len(one) == 1 else ch
+    one = lookalike.TO_LATIN.get(one, one)
+    return one.lower() if len(one.lower()) == 1 else one
 
-_BROKEN = regex.compile(rf"(\p{{L}}+)([{BREAKS}])[ \t]*\r?\n[ \t]*(\p{{Ll}}[\p{{L}}]*)")
-_BREAK = regex.compile(rf"(?<=\p{{L}})[{BREAKS}][ \t]*\r?\n[ \t]*(?=\p{{Ll}})")
-_WORD = regex.compile(r"(?<![\p{L}\p{N}\-])(?:[\p{Latin}\p{Greek}\p{M}\p{N}†|$€§¢]|(?<=\p{Ll})[.'`](?=\p{Ll}{2})){2,40}(?!-?\p{N})")
-_SPECK = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])[.'`,^_~*\"](?=\n?[\p{Han}\p{Hiragana}\p{Katakana}ー])")
-_COMPOUND = regex.compile(r"(?<!\S)\p{Ll}+-\p{Ll}+")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+")
-_WINDOW = regex.compile(r"(?:\^|[\p{Han}\p{Hiragana}\p{Katakana}ー])[\p{Han}\p{Hiragana}\p{Katakana}ー](?:\$|[\p{Han}\p{Hiragana}\p{Katakana}ー])")
-_SCRIPTS = regex.compile(r"\p{Latin}+|[\p{Katakana}ー]+|\p{Han}+|\p{Hiragana}+|\d+|\S")
-_DIGITS = regex.compile(r"\d+")
-SKELETON = lookalike._Table(lambda ch: lookalike.TO_LATIN.get(ch, ch))
 
+_SEEN, _SHADOW = lookalike._Table(_seen), lookalike._Table(_shadow)
 
-def _plain(text: str) -> str:
-    text = lookalike.fold(text)
-    return text if text.isascii() else text.translate(SKELETON)
+
+def solid(text: str) -> str:
+    """The text composed, with plain line ends and without characters that never show (soft hyphens stay at line ends)."""
+    text = text.replace("\r\n", "\n")
+    return text if text.isascii() else _UNSEEN.sub("", unicodedata.normalize("NFC", text).translate(_SEEN))
+
+
+def shadow(text: str) -> str:
+    """The text as tokens see it, character for character."""
+    return text.lower() if text.isascii() else text.translate(_SHADOW)
 
 
 def flat(text: str) -> str:
-    """The text as tokens see it: Greek and Cyrillic look-alikes folded (they are no faults of recognition), lower case."""
-    breaks = [ch for ch in BREAKS[1:] if ch in text]
-    for ch in breaks:  # soft hyphens show at a line end; folding would drop them
-        text = text.replace(ch + "\n", "-\n").replace(ch + "\r\n", "-\n")
-    return _plain(text).lower()
+    return shadow(solid(text))
+
+
+_WORDS: dict[str, bool] = {}
+
+
+def _is_word(w: str) -> bool:
+    known = _WORDS.get(w)
+    if known is None:
+        if len(_WORDS) > 1_000_000:
+            _WORDS.clear()
+        known = _WORDS[w] = any(map(str.isalpha, w)) and (w.strip("|") == w or len(w) > 2)
+    return known
 
 
 def tokens(text: str) -> set[str]:
@@ -66,14 +105,15 @@ def tokens(text: str) -> set[str]:
 
     Windows show the text's own characters: a katakana misread as the ideograph it looks like is a fault of the scan.
     """
-    if "-" in text and "\n" in text:
+    if "\n" in text:
         text = _BREAK.sub("", text)
-    out = {w for w in set(_WORD.findall(text)) if not w.isdigit() and any(map(str.isalpha, w)) and not w.strip("|") != w or (w[0] == "|" or w[-1] == "|") and len(w) > 2}
-    out |= set(_COMPOUND.findall(text)) if "-" in text else set()
-    if not text.isascii():
+    out = {w for w in set(_WORD.findall(text)) if _is_word(w)}
+    if "-" in text:
+        out.update(_COMPOUND.findall(text))
+    if not text.isascii() and _CJK.search(text):
         out.update("~" + p for p in _SPECK.findall(text))
-        for m in _CJK.finditer(_SPECK.sub("", text).replace("\n", "")):
-            out.update(windows(m[0]))
+        for run in set(_CJK.findall(_SPECK.sub("", text).replace("\n", ""))):
+            out.update(windows(run))
     return out
 
 
@@ -87,47 +127,10 @@ def is_window(token: str) -> bool:
     return len(token) == 3 and bool(_WINDOW.fullmatch(token))
 
 
-def templates(line: str) -> list[str]:
-    """A short line with its digits masked, and the same with each of its words left open in turn."""
-    line = _DIGITS.sub("9", lookalike.fold(line).strip().lower())
-    if not line or len(line) > LINE:
-        return []
-    parts = _SCRIPTS.findall(line)
-    if len(parts) > 10:
-        return [line]
-    words = [i for i, p in enumerate(parts) if len(p) > 1 and p[0].isalpha()]
-    out = [" ".join(parts)]
-    if len(words) > 1:
-        out += [" ".join("*" if i == w else p for i, p in enumerate(parts)) for w in words]
-    return out
-
-
 def lines_of(text: str) -> list[tuple[int, str]]:
     return [(i, s) for i, s in enumerate(text.replace("\r\n", "\n").split("\n")) if s.strip()]
 
 
-def widest(text: str) -> int:
-    """Length of the longest line, the reference for how full a line is."""
-    return max((len(s) for s in text.split("\n")), default=1) or 1
-
-
-def edge_lines(text: str) -> list[tuple[int, str, int, int]]:
-    """(number, line, place from the top or -1, place from the bottom or -1) of the lines at a page's edges."""
-    ls = lines_of(text)
-    out = []
-    for k, (i, s) in enumerate(ls):
-        top, bottom = k, len(ls) - 1 - k
-        if (top < EDGE or bottom < EDGE) and len(s.strip()) <= LINE and len(ls) > 1:
-            out.append((i, s, top if top < EDGE else -1, bottom if bottom < EDGE else -1))
-    return out
-
-
-def line_shape(line: str, top: int, bottom: int, width: int) -> list[float]:
-    s = line.strip()
-    letters, digits = sum(ch.isalpha() for ch in s), sum(ch.isdigit() for ch in s)
-    return [float(len(s)), digits / len(s), float(letters == 0), float(s[-1] in ".!?。！？．…,、”」»)："), float(top == 0), float(bottom == 0), float("|" in s), float(s.upper() == s and letters > 0), float(letters + digits == 0), float(len(_SCRIPTS.findall(s))), len(s) / max(width, 1)]
-
-
 # ---------------------------------------------------------------- counting
 
 
@@ -136,40 +139,23 @@ def count_tokens(pages: DataFrame, clean: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            seen: dict[str, list[int]] = {}
+            seen = (Counter(), Counter())
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in tokens(flat(text)):
-                    seen.setdefault(t, [0, 0])[0 if page else 1] += 1
-            yield pa.RecordBatch.from_pydict({"token": list(seen), "n_page": [v[0] for v in seen.values()], "n_clean": [v[1] for v in seen.values()]}, schema=pa.schema([("token", pa.string()), ("n_page", pa.int64()), ("n_clean", pa.int64())]))
+                seen[not page].update(tokens(flat(text)))
+            every = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_pydict({"token": every, "n_page": [seen[0][t] for t in every], "n_clean": [seen[1][t] for t in every]}, schema=pa.schema([("token", pa.string()), ("n_page", pa.int64()), ("n_clean", pa.int64())]))
 
     both = pages.select(F.lit(True).alias("page"), "text").unionByName(clean.select(F.lit(False).alias("page"), "text"))
     return both.mapInArrow(count, "token string, n_page bigint, n_clean bigint").groupBy("token").agg(F.sum("n_page").alias("n_page"), F.sum("n_clean").alias("n_clean"))
 
 
-def count_templates(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFrame:
-    """template, n_edge (at page edges), n_inner (inside pages), n_other (clean texts and titles)."""
-    names = ["n_edge", "n_inner", "n_other"]
-
-    def count(batches):
-        for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                edges = {i for i, *_ in edge_lines(text)} if page else set()
-                for i, s in lines_of(text):
-                    for t in set(templates(s)) if len(s) <= LINE else ():
-                        seen.setdefault(t, [0, 0, 0])[2 if not page else 0 if i in edges else 1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3))], names=["template", *names])
-
-    every = pages.select(F.lit(True).alias("page"), "text").unionByName(clean.select(F.lit(False).alias("page"), "text")).unionByName(titles.select(F.lit(False).alias("page"), "text"))
-    return every.mapInArrow(count, "template string, n_edge bigint, n_inner bigint, n_other bigint").groupBy("template").agg(*(F.sum(n).alias(n) for n in names)).where("n_edge > 0")
-
-
 # ---------------------------------------------------------------- words
 
 
 def grams(token: str, asking: bool) -> list[str]:
     """Keys of the inverted join: for windows the characters around the middle; for words q-grams, of three
-    characters for short words and four for long ones. A question near the border asks for both."""
+    characters for short words and four for long ones, with the length of the question. A question near the border
+    asks for both; an answer stands under every length an edit can bring it to, so frequent q-grams are split."""
     if is_window(token):
         return [f"{token[0]}_{token[2]}"]
     padded, n, out = f"^{token}$", len(token), []
@@ -177,7 +163,24 @@ def grams(token: str, asking: bool) -> list[str]:
         out += ["s" + padded[i : i + 3] for i in range(n)]
     if n >= (6 if asking else 7):
         out += ["l" + padded[i : i + 4] for i in range(n - 1)]
-    return sorted(set(out))
+    if asking:
+        return [f"{n}{g}" for g in set(out)]
+    return [f"{k}{g}" for g in set(out) for k in range(max(2, n - 2), n + 3) if (g[0] == "s") == (n <= 6) and (k <= 9 if g[0] == "s" else k >= 6)]
+
+
+def _script(ch: str) -> str:
+    return "k" if re.match(f"[{_KANA}]", ch) else "h" if _CJK.match(ch) else "l"
+
+
+def plausible(ops: list[tuple[str, str]]) -> bool:
+    """Whether edits can be faults of recognition: at most two, of at most two characters, between scripts only look-alikes."""
+    if not 0 < len(ops) <= 2 or any(max(len(r), len(w)) > 2 for r, w in ops):
+        return False
+    looks = lookalike.KANA_HAN | ALIKE
+    for r, w in ops:
+        if len(r) == len(w) == 1 and {_script(r), _script(w)} == {"k", "h"} and looks.get(r) != w and looks.get(w) != r:
+            return False
+    return True
 
 
 def edits(wrong: str, right: str) -> list[tuple[str, str]]:
@@ -215,14 +218,15 @@ def candidates(counts: DataFrame) -> DataFrame:
 
     q = asked.select("token", F.when(F.col("n_page") > 0, 1).otherwise(0).cast("bigint").alias("x")).mapInArrow(spread(True), "token string, x bigint, gram string").select(F.col("token").alias("asked"), F.col("x").alias("real"), "gram")
     a = answers.select("token", F.col("n_clean").alias("x")).mapInArrow(spread(False), "token string, x bigint, gram string").select(F.col("token").alias("answer"), F.col("x").alias("n_answer"), "gram")
-    met = q.join(a, "gram").where("asked <> answer and abs(char_length(asked) - char_length(answer)) <= 3")
+    met = q.join(a, "gram").where("asked <> answer and abs(char_length(asked) - char_length(answer)) <= 2")
     near = met.where(F.levenshtein("asked", "answer", 3) >= 0).groupBy("asked", "real", "answer", "n_answer").agg(F.count("*").alias("shared"))
     near = near.where((F.levenshtein("asked", "answer") <= 1) | ((F.char_length("answer") >= 5) & (F.levenshtein("asked", "answer") <= 2)) | (F.char_length("answer") >= 7))
 
     def explain(batches):
         for batch in batches:
-            ops = [["\t".join(o) for o in edits(w, r)] for w, r in zip(batch.column("asked").to_pylist(), batch.column("answer").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("asked", "real", "answer", "n_answer", "shared")), pa.array(ops, pa.list_(pa.string()))], names=["asked", "real", "answer", "n_answer", "shared", "ops"])
+            ops = [edits(w, r) for w, r in zip(batch.column("asked").to_pylist(), batch.column("answer").to_pylist())]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("asked", "real", "answer", "n_answer", "shared")), pa.array([["\t".join(o) for o in os] for os in ops], pa.list_(pa.string()))], names=["asked", "real", "answer", "n_answer", "shared", "ops"])
+            yield out.filter(pa.array(list(map(plausible, ops)), pa.bool_()))
 
     return written(near.select("asked", "real", "answer", "n_answer", "shared").mapInArrow(explain, "asked string, real bigint, answer string, n_answer bigint, shared bigint, ops array<string>"), "p5pairs")
 
@@ -248,7 +252,7 @@ def word_features(p: pd.DataFrame) -> np.ndarray:
 
 
 def corrections(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """token, replacement: for each page token the best answer, where the classifier holds it for a fault; written.
+    """token, replacement: for each page token the best answer, where the classifier holds it for a fault.
 
     A mark between two characters that only pages have (token ``~`` and the mark) is a speck and goes.
     """
@@ -267,54 +271,129 @@ def corrections(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     best = real.groupBy("asked").agg(F.max_by(F.struct("answer", "sure"), F.struct("sure", "total", "n_answer", "answer")).alias("b"))
     alike = written(swapped(counts), "p5alike")
     ranked = best.where(F.col("b.sure") >= SURE_WORD).select(F.col("asked").alias("token"), F.col("b.answer").alias("replacement")).join(alike, "token", "left_anti")
-    return written(ranked.unionByName(alike).unionByName(specks), "p5words")
+    return ranked.unionByName(alike).unionByName(specks)
 
 
 # ---------------------------------------------------------------- lines
 
 
+def masked_parts(line):
+    """The parts of a line in lower case with its digits masked, as a column."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(F.trim(line)), "[0-9０-９]+", "9"), F.lit(PARTS), F.lit(1))
+
+
+def text_lines(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep, line (its number), s, before, after (printed neighbours), top, bottom (place among printed lines), width (longest line)."""
+    every = F.transform(F.split("text", r"\r?\n"), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    rows = texts.withColumn("ls", F.filter(every, lambda x: x["s"].rlike(r"\S"))).select(*keep, "ls", F.array_max(F.transform("ls", lambda x: F.char_length(x["s"]))).alias("width"), F.posexplode("ls").alias("top", "x"))
+    near = lambda at: F.get("ls", F.col("top") + at)["s"]
+    return rows.select(*keep, F.col("x.i").alias("line"), F.col("x.s").alias("s"), near(-1).alias("before"), near(1).alias("after"), "top", (F.size("ls") - 1 - F.col("top")).alias("bottom"), "width")
+
+
+def with_halves(lines: DataFrame) -> DataFrame:
+    """Adds parts and the hashes of the first and second half of them: lines that differ in one part agree in a half."""
+    half = F.floor(F.col("n") / 2).cast("int")
+    side = lambda name, part: F.when(F.col("n") > 1, F.xxhash64(F.lit(name), "n", F.array_join(part, " "))).alias(name)
+    whole = F.xxhash64(F.lit("whole"), F.array_join("parts", " "))
+    rows = lines.withColumn("parts", masked_parts(F.col("s"))).withColumn("n", F.size("parts"))
+    return rows.select("*", F.coalesce(side("h1", F.slice("parts", F.lit(1), half)), whole).alias("h1"), F.coalesce(side("h2", F.slice("parts", half + 1, F.greatest(F.col("n") - half, F.lit(0)))), whole).alias("h2"))
+
+
+def line_templates():
+    """Hashes of a line's templates as a column: its masked parts, and the same with each of its words open in turn."""
+    parts = F.col("parts")
+    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).rlike(r"^\p{L}{2,}"))
+    one = lambda i: F.xxhash64(F.lit("open"), F.array_join(F.transform(parts, lambda p, j: F.when(j == i, F.lit("*")).otherwise(p)), " "))
+    whole = F.array(F.struct(F.xxhash64(F.array_join(parts, " ")).alias("template"), F.lit(0.0).alias("open")))
+    return F.when(F.size(at) > 1, F.concat(whole, F.transform(at, lambda i: F.struct(one(i).alias("template"), F.lit(1.0).alias("open"))))).otherwise(whole)
+
+
+_SPLIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+
+
+def alike(a: str, b: str | None) -> bool:
+    """Whether two lines are built alike, as rows of one table or items of one list are."""
+    if not b or not b.strip():
+        return False
+    x, y = (_SPLIT.findall(re.sub(r"\d+", "9", t.strip())) for t in (a, b))
+    if not x or not y:
+        return False
+    if not x[0].isalnum() and x[0] == y[0] and (x[0] in "|*+•・#" or x[-1] == y[-1] == "|"):
+        return True
+    return len(x) == len(y) > 2 and sum(map(str.__eq__, x, y)) * 2 >= len(x)
+
+
+def pair_shape(s: str, before: str | None, after: str | None, top: int, bottom: int, width: int) -> list[float]:
+    """Shape of an edge line and of how it meets the line next to it on the page's inner side."""
+    s = s.strip() or "?"
+    letters, digits = sum(ch.isalpha() for ch in s), sum(ch.isdigit() for ch in s)
+    near = ((after if top <= bottom else before) or "").strip()
+    first, second = (s, near) if top <= bottom else (near, s)
+    return [
+        float(len(s)), digits / len(s), float(letters == 0), float(s[-1] in ".!?。！？．…,、”」»)："), float(top == 0), float(bottom == 0), float("|" in s), float(s.upper() == s and letters > 0), float(letters + digits == 0), float(len(_SPLIT.findall(s))), len(s) / max(width, 1),
+        float(alike(s, near)), len(near) / max(width, 1), float(first[-1:] in ".!?。！？．…”」»)"), float(second[:1].islower()), float(first[-1:] in BREAKS),
+    ]
+
+
 def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFrame:
     """record_table, record_key, lines: numbers of the lines that are running headers or page numbers."""
-    stats = written(count_templates(pages, clean, titles), "p5templates")
-
-    def look(batches):
-        for batch in batches:
-            rows = []
-            for table, key, text in zip(*(batch.column(c).to_pylist() for c in ("record_table", "record_key", "text"))):
-                found = edge_lines(text) if table != "title" else [(0, text, 0, -1)] if len(text.strip()) <= LINE and text.strip() else []
-                if table not in ("clean", "title"):  # lines inside pages, as negatives of the same width: one of each page, shown as an edge
-                    edges = {f[0] for f in found}
-                    inner = [(i, t) for i, t in lines_of(text) if i not in edges and len(t.strip()) <= LINE]
-                    if inner:
-                        i, t = inner[len(text) % len(inner)]
-                        found = [*found, (-1 - i, t, 0 if i % 2 else -1, -1 if i % 2 else 0)]
-                width = widest(text) if table != "title" else 60
-                for i, s, top, bottom in found:
-                    for t in templates(s):
-                        rows.append((table, key, i, line_shape(s, top, bottom, width), t, float("*" in t)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.float64()))], names=["record_table", "record_key", "line", "shape", "template", "open"])
-
-    cols = ["record_table", "record_key", "text"]
-    control = clean.select(F.lit("clean").alias("record_table"), "record_key", "text").unionByName(titles.select(F.lit("title").alias("record_table"), F.lit("").alias("record_key"), "text"))
-    looked = pages.select(*cols).unionByName(control).mapInArrow(look, "record_table string, record_key string, line int, shape array<double>, template string, open double")
-    joined = looked.join(stats, "template", "left").fillna(0, ["n_edge", "n_inner", "n_other"])
-    # the line's own share in n_edge is taken off, so that a line seen once counts as never seen
-    own = F.when(F.col("record_table").isin("clean", "title") | (F.col("line") < 0), 0).otherwise(1)
-    value = F.struct((F.log1p(F.greatest(F.col("n_edge") - own, F.lit(0))) - 2 * F.log1p("n_other") - 0.5 * F.log1p("n_inner")).alias("v"), "n_edge", "n_inner", "n_other", "open")
-    feats = written(joined.groupBy("record_table", "record_key", "line", "shape").agg(F.max(value).alias("best"), F.max("n_other").alias("most_other"), F.max(F.greatest(F.col("n_edge") - own, F.lit(0))).alias("most_edge")), "p5lines")
-    page = ~F.col("record_table").isin("clean", "title") & (F.col("line") >= 0)
-    # sure positives repeat at edges and hardly elsewhere; edge lines that do not are prose and negatives like the rest
-    unsure = (F.col("most_edge") <= 2) | (F.col("best.n_edge") <= 1.5 * F.col("best.n_inner"))
-    ended = (F.col("shape")[3] > 0) | (F.col("shape")[8] > 0)  # ends like a sentence, or holds neither letter nor digit
-    sure = page & ~ended & (F.col("best.n_edge") >= 4) & (F.col("best.n_edge") > 10 * F.col("best.n_other")) & (F.col("best.n_edge") > 3 * F.col("best.n_inner")) & (F.col("most_other") <= F.col("best.n_edge"))
-    by_hash = lambda part: feats.where(part).orderBy(F.xxhash64("record_key", "line", "shape")).limit(TRAIN // 2)
-    train = by_hash(sure).withColumn("y", F.lit(1)).unionByName(by_hash(~page | unsure | ended).withColumn("y", F.lit(0))).toPandas()
+    at_edge = (F.col("top") < EDGE) | (F.col("bottom") < EDGE)
+    every = text_lines(pages, "record_table", "record_key")
+    edges = written(with_halves(every.where(at_edge & (F.col("top") + F.col("bottom") > 0))), "p5edges")
+    halves = written(edges.select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "p5halves")
+
+    def shared(lines: DataFrame) -> DataFrame:
+        """Lines that agree with two edge lines in a half."""
+        for h in ("h1", "h2"):
+            lines = lines.join(halves.select(F.col("h").alias(h), F.lit(True).alias(f"in_{h}")), h, "left")
+        return lines.where("in_h1 or in_h2").drop("in_h1", "in_h2", "h1", "h2")
+
+    context = ["record_table", "record_key", "line", "s", "before", "after", "top", "bottom", "width"]
+    edge = written(shared(edges).withColumn("t", line_templates()).select(*context, "t"), "p5edge")
+    repeated = edge.select(F.explode("t").alias("t")).groupBy("t.template").agg(F.count("*").alias("n_edge")).where("n_edge > 1")
+    inner = every.where(~at_edge).withColumn("weight", F.lit(1))
+    other = text_lines(clean.select(F.lit("clean").alias("record_table"), "record_key", "text"), "record_table", "record_key").withColumn("weight", F.lit(1))
+    once = titles.groupBy("text").agg(F.count("*").cast("int").alias("weight")).where(F.col("text").rlike(r"\S"))
+    title = text_lines(once.select(F.lit("title").alias("record_table"), F.lit("").alias("record_key"), "text", "weight"), "record_table", "record_key", "weight")
+    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title))).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
+    outside = F.col("record_table").isin("clean", "title")
+    elsewhere = rest.select(outside.alias("o"), "weight", F.explode("t").alias("t")).groupBy("t.template").agg(F.sum(F.when(F.col("o"), 0).otherwise(F.col("weight"))).alias("n_inner"), F.sum(F.when(F.col("o"), F.col("weight")).otherwise(0)).alias("n_other"))
+    stats = written(repeated.join(elsewhere, "template", "left").fillna(0, ["n_inner", "n_other"]), "p5templates")
+
+    def judged(lines: DataFrame, own: int) -> DataFrame:
+        """Lines with the statistics of their best template; a line's own share in n_edge is taken off."""
+        seen = F.greatest(F.col("n_edge") - own, F.lit(0))
+        value = F.struct((F.log1p(seen) - 2 * F.log1p("n_other") - 0.5 * F.log1p("n_inner")).alias("v"), seen.alias("n_edge"), "n_inner", "n_other", "t.open")
+        found = lines.select(*context, F.explode("t").alias("t")).withColumn("template", F.col("t.template")).join(stats, "template")
+        return found.groupBy("record_table", "record_key", "line").agg(*[F.first(c).alias(c) for c in context[3:]], F.max(value).alias("b"), F.max("n_other").alias("most_other"), F.max(seen).alias("most_edge")).select(*context, "b.*", "most_other", "most_edge")
+
+    feats = written(judged(edge, 1), "p5lines")
+    plain = written(judged(rest, 0), "p5plain")
+    # sure positives repeat at edges and hardly elsewhere; lines of clean texts and inside pages are negatives, but for
+    # those inside pages that repeat at edges: a page cut across two prints has a header in its middle
+    sure = (F.col("n_edge") >= 3) & (F.col("n_edge") > 10 * F.col("n_other")) & (F.col("n_edge") > 3 * F.col("n_inner")) & (F.col("most_other") <= F.col("n_edge"))
+    astray = plain.where(sure & ~outside)
+    plain = plain.where(~sure | outside)
+    weak = (F.col("most_edge") <= 1) | (F.col("n_edge") <= 1.5 * F.col("n_inner"))
+    by_hash = lambda rows, most: rows.orderBy(F.xxhash64("record_key", "line", "s")).limit(most)
+    train = by_hash(feats.where(sure), TRAIN // 2).withColumn("y", F.lit(1)).unionByName(by_hash(feats.where(~sure & weak), TRAIN // 4).withColumn("y", F.lit(0))).unionByName(by_hash(plain, TRAIN // 4).withColumn("y", F.lit(0))).toPandas()
+    columns = ["s", "before", "after", "top", "bottom", "width"]
 
     def features(p: pd.DataFrame) -> np.ndarray:
-        best = p["best"].map(lambda b: [b["v"], math.log1p(max(0, b["n_edge"] - 1)), math.log1p(b["n_inner"]), math.log1p(b["n_other"]), b["open"]] if isinstance(b, dict) else [b.v, math.log1p(max(0, b.n_edge - 1)), math.log1p(b.n_inner), math.log1p(b.n_other), b.open])
-        return np.hstack([np.array(best.tolist(), dtype=float), np.stack([np.log1p(p["most_other"]), np.log1p(p["most_edge"])], axis=1), np.array(p["shape"].tolist(), dtype=float)])
-
-    model = Boosted().fit(features(train), train["y"].to_numpy()) if len(train) else Boosted().fit(np.zeros((0, 18)), np.zeros(0))
+        shape = np.array([pair_shape(*r) for r in p[columns].itertuples(index=False, name=None)], dtype=float).reshape(len(p), -1)
+        return np.hstack([np.stack([p["v"], np.log1p(p["n_edge"]), np.log1p(p["n_inner"]), np.log1p(p["n_other"]), p["open"], np.log1p(p["most_other"]), np.log1p(p["most_edge"])], axis=1).astype(float), shape])
+
+    if len(train):
+        # lines inside pages and of clean texts are seen as if at an edge, so their place tells nothing
+        plain_rows = (train["top"] >= EDGE) & (train["bottom"] >= EDGE) | train["record_table"].isin(["clean", "title"])
+        turn = np.arange(len(train)) % 2 == 0
+        train.loc[plain_rows & turn, ["top", "bottom"]] = [0, 9]
+        train.loc[plain_rows & ~turn, ["top", "bottom"]] = [9, 0]
+        x = features(train)
+        ended = (x[:, 10] > 0) | (x[:, 15] > 0) | (x[:, 18] > 0)  # ends like a sentence, holds nothing, or is built like its neighbour
+        model = Boosted().fit(x, np.where(ended, 0, train["y"].to_numpy()))
+    else:
+        model = Boosted().fit(np.zeros((0, 23)), np.zeros(0))
 
     def judge(batches):
         for p in batches:
@@ -322,28 +401,35 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
                 p = p[model.predict(features(p)) >= SURE_LINE]
                 yield p[["record_table", "record_key", "line"]]
 
-    kept = feats.where(page & (F.col("best.n_edge") >= 2)).select("record_table", "record_key", "line", "shape", "best", "most_other", "most_edge").mapInPandas(judge, "record_table string, record_key string, line int")
+    astray = astray.withColumn("top", F.lit(0)).withColumn("bottom", F.lit(9))
+    kept = feats.unionByName(astray).mapInPandas(judge, "record_table string, record_key string, line int")
     return kept.groupBy("record_table", "record_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-# ---------------------------------------------------------------- repair
+# ---------------------------------------------------------------- joins
+
+
+def _counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """l, r and what else is there, with the counts of l + r joined, joined by a hyphen, and of the parts."""
+    c = counts.select("token", "n_clean").where("n_clean > 0")
+    for name, key in (("nj", F.concat("l", "r")), ("nh", F.concat_ws("-", "l", "r")), ("nl", F.col("l")), ("nr", F.col("r"))):
+        pairs = pairs.withColumn("token", key).join(c.withColumnRenamed("n_clean", name), "token", "left").drop("token")
+    return pairs.fillna(0, ["nj", "nh", "nl", "nr"])
+
+
+def _hyphen_features(p: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.log1p(p[k].to_numpy(dtype=float)) for k in ("nj", "nh", "nl", "nr")] + [p["r"].str.len().to_numpy(dtype=float)], axis=1)
 
 
 def hyphen_model(counts: DataFrame) -> Boosted:
-    """Whether the hyphen between two line parts goes: words cut at random against compounds, by the counts of the parts."""
-    words = counts.where("n_clean >= 2").where(F.col("token").rlike(r"^\p{Ll}{5,}$|^\p{Ll}+-\p{Ll}+$")).orderBy(F.xxhash64("token")).limit(TRAIN).select("token", "n_clean").toPandas()
-    n = dict(zip(words["token"], words["n_clean"]))
-    x, y = [], []
-    for w, c in n.items():
-        if "-" in w:
-            a, b = w.split("-", 1)
-            x.append([math.log1p(n.get(a + b, 0)), math.log1p(c), math.log1p(n.get(a, 0)), math.log1p(n.get(b, 0)), len(b)])
-            y.append(0)
-        else:
-            k = 2 + sum(map(ord, w)) % (len(w) - 3)
-            x.append([math.log1p(c), math.log1p(n.get(f"{w[:k]}-{w[k:]}", 0)), math.log1p(n.get(w[:k], 0)), math.log1p(n.get(w[k:], 0)), len(w) - k])
-            y.append(1)
-    return Boosted(rounds=30).fit(np.array(x, dtype=float).reshape(-1, 5), np.array(y))
+    """Whether the hyphen between two line parts goes: words cut at random against compounds, by the full counts of the parts."""
+    words = counts.where("n_clean >= 2").where(F.col("token").rlike(r"^\p{Ll}{5,}$|^\p{Ll}+-\p{Ll}+$")).orderBy(F.xxhash64("token")).limit(TRAIN).select("token")
+    whole = ~F.col("token").contains("-")
+    at = F.when(whole, F.pmod(F.xxhash64("token", F.lit(3)), F.char_length("token") - 3) + 2).otherwise(F.instr("token", "-") - 1).cast("int")
+    cut = words.select(F.substring("token", F.lit(1), at).alias("l"), F.expr("substring(token, 1)").alias("all"), at.alias("at"), whole.cast("int").alias("y"))
+    parts = cut.select("l", F.substring("all", F.col("at") + F.when(F.col("y") == 1, 1).otherwise(2), F.lit(1 << 20)).alias("r"), "y")
+    p = _counted(parts, counts).toPandas()
+    return Boosted(rounds=30).fit(_hyphen_features(p) if len(p) else np.zeros((0, 5)), p["y"].to_numpy())
 
 
 def broken_words(pages: DataFrame, counts: DataFrame) -> DataFrame:
@@ -354,88 +440,117 @@ def broken_words(pages: DataFrame, counts: DataFrame) -> DataFrame:
             found = sorted({(m[1], m[3]) for t in batch.column(0).to_pylist() for m in _BROKEN.finditer(flat(t))})
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["l", "r"])
 
-    pairs = pages.select("text").mapInArrow(find, "l string, r string").distinct()
-    c = counts.select("token", "n_clean").where("n_clean > 0")
-    for name, key in (("nj", F.concat("l", "r")), ("nh", F.concat_ws("-", "l", "r")), ("nl", F.col("l")), ("nr", F.col("r"))):
-        pairs = pairs.withColumn("token", key).join(c.withColumnRenamed("n_clean", name), "token", "left").drop("token")
+    pairs = pages.where(F.col("text").rlike(rf"[{BREAKS}][ \t]*\r?\n")).select("text").mapInArrow(find, "l string, r string").distinct()
     model = hyphen_model(counts)
 
     def judge(batches):
         for p in batches:
             if len(p):
-                x = np.stack([np.log1p(p[k].fillna(0).to_numpy(dtype=float)) for k in ("nj", "nh", "nl", "nr")] + [p["r"].str.len().to_numpy(dtype=float)], axis=1)
-                yield p[["l", "r"]].assign(joined=model.predict(x) >= 0.5)
+                yield p[["l", "r"]].assign(joined=model.predict(_hyphen_features(p)) >= 0.5)
+
+    return _counted(pairs, counts).mapInPandas(judge, "l string, r string, joined boolean")
+
+
+def join_shape(a: str, b: str, width: int) -> list[float]:
+    """Shape of two adjacent lines, for whether the break between them stays."""
+    x, y = a.strip(), b.strip()
+    mark = bool(re.match(r"(?:[-*+•・|#>]|\d{1,3}[.)]\s)", y))
+    return [len(a) / max(width, 1), len(b) / max(width, 1), float(x[-1:] in ".!?。！？．…"), float(x[-1:] in ":：;；"), float(y[:1].islower()), float(y[:1].isupper()), float(y[:1].isdigit()), float(mark), float(x[:1] in "|#"), float(alike(a, b)), float(bool(_CJK.match(y[:1])))]
+
+
+def line_pairs(text: str) -> list[tuple[str, str, int]]:
+    """Adjacent printed lines of each paragraph, with the paragraph's width."""
+    out = []
+    for block in re.split(r"\n[ \t]*\n", text):
+        rows = [s for s in block.split("\n") if s.strip()]
+        width = max(map(len, rows), default=1)
+        out += [(a, b, width) for a, b in zip(rows, rows[1:])]
+    return out
+
+
+def join_model(pages: DataFrame, clean: DataFrame) -> Boosted:
+    """Whether the break between two lines goes: lines that part a broken word against adjacent lines of clean texts."""
+    some = lambda rows: [r.text for r in rows.orderBy(F.xxhash64("record_key")).limit(TRAIN // 10).select("text").collect()]
+    broken = [p for t in some(pages.where(F.col("text").rlike(rf"\p{{L}}[{BREAKS}][ \t]*\r?\n[ \t]*\p{{Ll}}"))) for p in line_pairs(solid(t)) if p[0].rstrip()[-1:] in BREAKS and p[1].lstrip()[:1].islower()]
+    apart = [p for t in some(clean.where(F.col("text").rlike(r"\S[ \t]*\r?\n[ \t]*\S"))) for p in line_pairs(solid(t))]
+    # a cut word is followed by its rest in lower case; prose lines may go on with any letter, so that feature is not shown
+    x = np.array([join_shape(*p) for p in broken[:TRAIN] + apart[:TRAIN]], dtype=float).reshape(-1, 11)
+    x[:, 4:7] = 0.0
+    return Boosted(rounds=40).fit(x, np.array([1] * len(broken[:TRAIN]) + [0] * len(apart[:TRAIN])))
 
-    return pairs.mapInPandas(judge, "l string, r string, joined boolean")
+
+# ---------------------------------------------------------------- repair
 
 
 def like_case(model: str, word: str) -> str:
     return word.upper() if model.isupper() and len(model) > 1 else word[:1].upper() + word[1:] if model[:1].isupper() else word
 
 
-def repair(text: str, words: dict[str, str], keep_hyphen: set[tuple[str, str]], drop: list[int]) -> tuple[str, list[str]]:
-    """The repaired text and the kinds of fault found in it."""
+def repair(text: str, words: dict[str, str], drop: list[int]) -> tuple[str, list[str]]:
+    """The text with its faults mended, line breaks as they are, and the kinds of fault found in it.
+
+    words: replacements of tokens; ``left LF right`` is there for line pairs that keep their hyphen. A compound that
+    breaks at its own hyphen is no fault.
+    """
     kinds = set()
     lines = text.replace("\r\n", "\n").split("\n")
     if drop:
         kinds.add("furniture")
         gone = set(drop)
         lines = [s for i, s in enumerate(lines) if i not in gone]
-    body = "\n".join(lines).strip("\n")
+    body = solid("\n".join(lines).strip("\n"))
 
     def join(m):
-        kinds.add("broken")
         a, b = m[1], m[3]
-        return f"{a}-{b}" if (a.lower(), b.lower()) in keep_hyphen else a + b
+        if f"{shadow(a)}\n{shadow(b)}" in words:
+            return f"{a}-{b}"
+        kinds.add("broken")
+        return a + b
 
     if _BREAK.search(body):
         body = _BROKEN.sub(join, body)
-    low = _plain(body)
-    if words:
-
-        def word(m):
-            right = words.get(m[0].lower())
-            if right is None:
-                return m[0]
-            kinds.add("misread")
-            return like_case(m[0], right)
-
-        if any(w in words for w in set(_WORD.findall(low.lower()))):
-            low = _WORD.sub(word, low)
-        if not low.isascii():
-
-            def speck(m):
-                if "~" + m[0] not in words:
-                    return m[0]
-                kinds.add("misread")
-                return ""
-
-            low = _SPECK.sub(speck, low)
-            solid, hits = low.replace("\n", ""), []
-            for m in _CJK.finditer(solid):
-                hits += [(m.start() + i, words[w]) for i, w in enumerate(windows(m[0])) if w in words]
-            if hits:
-                kinds.add("misread")
-                out, place = list(low), [i for i, ch in enumerate(low) if ch != "\n"]
-                for at, right in hits:
-                    if len(right) == 3:
-                        out[place[at]] = right[1]
-                low = "".join(out)
-    # continuous paragraphs: a single line break inside prose goes; lists, tables, headings and short lines keep theirs
-    paragraphs = []
-    for block in regex.split(r"\n[ \t]*\n", low):
-        rows = block.split("\n")
-        wide = max(map(len, rows), default=0)
+    low, edits_ = shadow(body), []
+    for m in _WORD.finditer(low):
+        right = words.get(m[0])
+        if right is not None:
+            edits_.append((m.start(), m.end(), like_case(body[m.start() : m.end()], right)))
+    if not low.isascii() and _CJK.search(low):
+        specks = {m.start() for m in _SPECK.finditer(low) if "~" + m[0] in words}
+        edits_ += [(i, i + 1, "") for i in specks]
+        place = [i for i, ch in enumerate(low) if ch != "\n" and i not in specks]
+        for m in _CJK.finditer("".join([low[i] for i in place])):
+            for k, w in enumerate(windows(m[0])):
+                right = words.get(w)
+                if right is not None and len(right) == 3:
+                    at = place[m.start() + k]
+                    edits_.append((at, at + 1, right[1]))
+    if edits_:
+        kinds.add("misread")
+        out, done = [], 0
+        for a, b, right in sorted(edits_):
+            if a >= done:
+                out += [body[done:a], right]
+                done = b
+        body = "".join(out) + body[done:]
+    return body, sorted(kinds)
+
+
+def paragraphs(text: str, goes) -> str:
+    """The text with the breaks for which the iterator ``goes`` says so replaced by a blank (nothing between ideographs)."""
+    out = []
+    for block in re.split(r"\n[ \t]*\n", text):
+        rows = [s for s in block.split("\n") if s.strip()]
+        if not rows:
+            continue
         merged = rows[:1]
         for s in rows[1:]:
-            last = merged[-1]
-            own = regex.match(r"\s*(?:[-*+•|#]|\d{1,3}[.)]\s)", s) or regex.match(r"\s*[|#]", last)
-            if own or len(rows[0]) < 0.6 * wide and last is rows[0]:
+            if not next(goes):
                 merged.append(s)
             else:
-                merged[-1] = last.rstrip() + ("" if regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}ー。、．！？」）…]$", last.rstrip()) else " ") + s.lstrip()
-        paragraphs.append("\n".join(merged))
-    return "\n\n".join(p for p in paragraphs if p.strip()), sorted(kinds)
+                last = merged[-1].rstrip()
+                merged[-1] = last + ("" if re.search(rf"[{_EAST}。、．！？」）…]$", last) else " ") + s.lstrip()
+        out.append("\n".join(merged))
+    return "\n\n".join(out)
 
 
 def repair_pages(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFrame:
@@ -450,34 +565,40 @@ def repair_pages(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataF
     pages = written(pages.select("record_table", "record_key", "text").where("text is not null and trim(text) <> ''").dropDuplicates(["record_table", "record_key"]), "p5pages")
     clean = written(clean.select("record_key", "text").where("text is not null").dropDuplicates(["record_key"]), "p5clean")
     counts = written(count_tokens(pages, clean), "p5counts")
-    words = corrections(counts, candidates(counts))
-    keep = broken_words(pages, counts).where("not joined").select("l", "r")
+    hyphens = broken_words(pages, counts).where("not joined").select(F.concat_ws("\n", "l", "r").alias("token"), F.lit("-").alias("replacement"))
+    words = written(corrections(counts, candidates(counts)).unionByName(hyphens), "p5words")
     lines = furniture(pages, clean, titles)
-    base = pages.select("record_table", "record_key", "text").join(lines, ["record_table", "record_key"], "left")
-    kept = {(r.l, r.r) for r in keep.limit(MOST_BROADCAST).collect()}
-    if words.count() <= MOST_BROADCAST and len(kept) < MOST_BROADCAST:
-        fixed = spark.sparkContext.broadcast(({r.token: r.replacement for r in words.collect()}, kept))
+    base = pages.join(lines, ["record_table", "record_key"], "left")
+    breaks = join_model(pages, clean)
+    if words.count() <= MOST_BROADCAST:
+        fixed = spark.sparkContext.broadcast({r.token: r.replacement for r in words.collect()})
         with_words = base.select("*", F.lit(None).cast("array<struct<token:string,replacement:string>>").alias("own"))
-    else:  # beyond the bound: each page gets its own corrections by a join on its tokens
-        fixed = spark.sparkContext.broadcast((None, kept if len(kept) < MOST_BROADCAST else set()))
+    else:  # beyond the bound: each page gets its own decisions by a join on its tokens
+        fixed = None
 
         def spread(batches):
             for batch in batches:
-                rows = [(t, k, w) for t, k, x in zip(*(c.to_pylist() for c in batch.columns)) for w in tokens(flat(x))]
+                rows = []
+                for t, k, x in zip(*(c.to_pylist() for c in batch.columns)):
+                    low = flat(x)
+                    rows += [(t, k, w) for w in tokens(low) | {f"{m[1]}\n{m[3]}" for m in _BROKEN.finditer(low)}]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["record_table", "record_key", "token"])
 
-        own = pages.select("record_table", "record_key", "text").mapInArrow(spread, "record_table string, record_key string, token string").join(words, "token")
+        own = pages.mapInArrow(spread, "record_table string, record_key string, token string").join(words, "token")
         with_words = base.join(own.groupBy("record_table", "record_key").agg(F.collect_list(F.struct("token", "replacement")).alias("own")), ["record_table", "record_key"], "left")
 
     def mend(batches):
-        every, hyphens = fixed.value
         for batch in batches:
             rows = []
             for table, key, text, drop, own in zip(*(batch.column(c).to_pylist() for c in ("record_table", "record_key", "text", "lines", "own"))):
-                mine = every if every is not None else {o["token"]: o["replacement"] for o in own or []}
-                out, kinds = repair(text, mine, hyphens, drop or [])
+                mine = fixed.value if fixed is not None else {o["token"]: o["replacement"] for o in own or []}
+                out, kinds = repair(text, mine, drop or [])
                 if kinds:
                     rows.append((table, key, out, kinds))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))], names=["record_table", "record_key", "repaired", "kinds"])
+            pairs = np.array([join_shape(*p) for r in rows for p in line_pairs(r[2])], dtype=float).reshape(-1, 11)
+            pairs[:, 4:7] = 0.0
+            goes = iter((breaks.predict(pairs) >= 0.5).tolist())
+            done = [paragraphs(r[2], goes) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(done, pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["record_table", "record_key", "repaired", "kinds"])
 
-    return with_words.mapInArrow(mend, "record_table string, record_key string, repaired string, kinds array<string>")
+    return with_words.select("record_table", "record_key", "text", "lines", "own").mapInArrow(mend, "record_table string, record_key string, repaired string, kinds array<string>")
