@@ -22,6 +22,7 @@ are the first and last ``EDGE`` printed lines of a page; a template must stand a
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -152,20 +153,35 @@ def count_tokens(pages: DataFrame, clean: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- words
 
 
+LONG = 40  # longer words are looked up by their thirds
+
+
 def grams(token: str, asking: bool) -> list[str]:
     """Keys of the inverted join: for windows the characters around the middle; for words q-grams, of three
-    characters for short words and four for long ones, with the length of the question. A question near the border
-    asks for both; an answer stands under every length an edit can bring it to, so frequent q-grams are split."""
+    characters for short words and four for long ones, with a class of the question's length, which splits frequent
+    q-grams. A question near the border asks for both sizes; an answer stands in every class two edits can reach.
+
+    Very long words have too many q-grams to list: of two edits one third of the answer at least is spared, so their
+    keys are digests of thirds, the middle one at every shift that two edits can cause.
+    """
     if is_window(token):
         return [f"{token[0]}_{token[2]}"]
-    padded, n, out = f"^{token}$", len(token), []
+    n = len(token)
+    out = set()
+    if n > LONG - 2 * asking:
+        third = lambda name, size, part: f"{name}{size}{hashlib.blake2b(part.encode(), digest_size=8).hexdigest()}"
+        for k in range(n - 2, n + 3) if asking else (n,):
+            x, y = k // 3, 2 * k // 3
+            out |= {third("a", k, token[:x]), third("c", k, token[n - (k - y) :])} | {third("b", k, token[x + d : y + d]) for d in (range(-2, 3) if asking else (0,))}
+    if n > LONG + 2 * asking:
+        return sorted(out)
+    padded, q = f"^{token}$", set()
     if n <= (9 if asking else 6):
-        out += ["s" + padded[i : i + 3] for i in range(n)]
+        q |= {"s" + padded[i : i + 3] for i in range(n)}
     if n >= (6 if asking else 7):
-        out += ["l" + padded[i : i + 4] for i in range(n - 1)]
-    if asking:
-        return [f"{n}{g}" for g in set(out)]
-    return [f"{k}{g}" for g in set(out) for k in range(max(2, n - 2), n + 3) if (g[0] == "s") == (n <= 6) and (k <= 9 if g[0] == "s" else k >= 6)]
+        q |= {"l" + padded[i : i + 4] for i in range(n - 1)}
+    sizes = [n // 5] if asking else range(max(2, n - 2) // 5, (n + 2) // 5 + 1)
+    return [*sorted(out), *(f"{k}{g}" for g in q for k in sizes)]
 
 
 def _script(ch: str) -> str:
@@ -209,7 +225,7 @@ def candidates(counts: DataFrame) -> DataFrame:
 
     def spread(asking: bool):
         def run(batches):
-            for batch in batches:
+            for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
                 keys = [grams(t, asking) for t in batch.column(0).to_pylist()]
                 i = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), pa.array([g for k in keys for g in k], pa.string())], names=["token", "x", "gram"])
@@ -219,8 +235,8 @@ def candidates(counts: DataFrame) -> DataFrame:
     q = asked.select("token", F.when(F.col("n_page") > 0, 1).otherwise(0).cast("bigint").alias("x")).mapInArrow(spread(True), "token string, x bigint, gram string").select(F.col("token").alias("asked"), F.col("x").alias("real"), "gram")
     a = answers.select("token", F.col("n_clean").alias("x")).mapInArrow(spread(False), "token string, x bigint, gram string").select(F.col("token").alias("answer"), F.col("x").alias("n_answer"), "gram")
     met = q.join(a, "gram").where("asked <> answer and abs(char_length(asked) - char_length(answer)) <= 2")
-    near = met.where(F.levenshtein("asked", "answer", 3) >= 0).groupBy("asked", "real", "answer", "n_answer").agg(F.count("*").alias("shared"))
-    near = near.where((F.levenshtein("asked", "answer") <= 1) | ((F.char_length("answer") >= 5) & (F.levenshtein("asked", "answer") <= 2)) | (F.char_length("answer") >= 7))
+    most = F.when(F.char_length("answer") >= 9, 3).when(F.char_length("answer") >= 5, 2).otherwise(1)
+    near = met.withColumn("far", F.levenshtein("asked", "answer", 3)).where(F.col("far").between(0, most)).groupBy("asked", "real", "answer", "n_answer").agg(F.count("*").alias("shared"))
 
     def explain(batches):
         for batch in batches:
