@@ -50,13 +50,14 @@ ALIKE = {"ー": "一", "へ": "ヘ", "り": "リ", "ハ": "八", "ミ": "三", "
 
 _BROKEN = re.compile(rf"([^\W\d_]+)([{BREAKS}])[ \t]*\r?\n[ \t]*((?=[^\W\d_])[{_LOWER}а-џ][^\W\d_]*)")
 _BREAK = re.compile(rf"(?<=[^\W\d_])[{BREAKS}][ \t]*\r?\n[ \t]*(?=[{_LOWER}а-џ])")
+_HYPHEN = re.compile(rf"[{BREAKS}][ \t]*\r?\n")
 _WORD = re.compile(rf"(?<![\w\-])(?:[{_LOWER}\u0300-\u036f0-9†|$€§¢]|(?<=[{_LOWER}])[.'`](?=[{_LOWER}]{{2}})){{2,}}+(?!-?\d)(?![\u0400-\u04ff])")
 _SPECK = re.compile(rf"(?<=[{_EAST}])[.'`,^_~*\"](?=\n?[{_EAST}])")
-_COMPOUND = re.compile(rf"(?<!\S)[{_LOWER}]+-[{_LOWER}]+")
+_COMPOUND = re.compile(rf"(?<!\S)[{_LOWER}]++-[{_LOWER}]+")
 _CJK = re.compile(rf"[{_EAST}]+")
 _WINDOW = re.compile(rf"(?:\^|[{_EAST}])[{_EAST}](?:\$|[{_EAST}])")
 _UNSEEN = re.compile(r"\u00ad(?![ \t]*\n)")
-PARTS = r"(\p{IsLatin}+|[\p{IsKatakana}ー]+|\p{IsHan}+|\p{IsHiragana}+|9|\S)"
+PARTS = r"([a-zß-öø-ÿĀ-ɏḀ-ỿ]+|[ァ-ヺー-ヿ]+|[一-鿿々〆]+|[ぁ-ゟ]+|9|\S)"
 
 
 def _seen(ch: str) -> str:
@@ -74,15 +75,26 @@ def _shadow(ch: str) -> str:
 _SEEN, _SHADOW = lookalike._Table(_seen), lookalike._Table(_shadow)
 
 
+_HIDDEN = re.compile(r"[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb\U000110bd-\U000e007f]")
+# characters that are their own shadow once in lower case; all others are looked up
+_OTHER = re.compile(rf"[^\x00-\x7f{_LOWER.replace('Ͱ-Ͽἀ-῾', '')}\u0300-\u036f{_EAST}。、・「」『』…“”„‘’–—«»¿¡]")
+
+
 def solid(text: str) -> str:
     """The text composed, with plain line ends and without characters that never show (soft hyphens stay at line ends)."""
-    text = text.replace("\r\n", "\n")
-    return text if text.isascii() else _UNSEEN.sub("", unicodedata.normalize("NFC", text).translate(_SEEN))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return _UNSEEN.sub("", text.translate(_SEEN)) if _HIDDEN.search(text) else text
 
 
 def shadow(text: str) -> str:
     """The text as tokens see it, character for character."""
-    return text.lower() if text.isascii() else text.translate(_SHADOW)
+    low = text.lower()
+    return low if text.isascii() or len(low) == len(text) and not _OTHER.search(low) else text.translate(_SHADOW)
 
 
 def flat(text: str) -> str:
@@ -106,15 +118,15 @@ def tokens(text: str) -> set[str]:
 
     Windows show the text's own characters: a katakana misread as the ideograph it looks like is a fault of the scan.
     """
-    if "\n" in text:
+    if _HYPHEN.search(text):
         text = _BREAK.sub("", text)
     out = {w for w in set(_WORD.findall(text)) if _is_word(w)}
     if "-" in text:
         out.update(_COMPOUND.findall(text))
     if not text.isascii() and _CJK.search(text):
         out.update("~" + p for p in _SPECK.findall(text))
-        for run in set(_CJK.findall(_SPECK.sub("", text).replace("\n", ""))):
-            out.update(windows(run))
+        s = "^" + "$^".join(set(_CJK.findall(_SPECK.sub("", text).replace("\n", "")))) + "$"
+        out.update([w for w in map("".join, zip(s, s[1:], s[2:])) if w[1] not in "^$"])
     return out
 
 
@@ -356,22 +368,25 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
     at_edge = (F.col("top") < EDGE) | (F.col("bottom") < EDGE)
     every = text_lines(pages, "record_table", "record_key")
     edges = written(with_halves(every.where(at_edge & (F.col("top") + F.col("bottom") > 0))), "p5edges")
-    halves = written(edges.select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "p5halves")
 
-    def shared(lines: DataFrame) -> DataFrame:
-        """Lines that agree with two edge lines in a half."""
+    def halves_of(lines: DataFrame, least: int) -> DataFrame:
+        return written(lines.select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("h"), "p5halves")
+
+    def shared(lines: DataFrame, halves: DataFrame) -> DataFrame:
+        """Lines that agree with another edge line in a half."""
         for h in ("h1", "h2"):
             lines = lines.join(halves.select(F.col("h").alias(h), F.lit(True).alias(f"in_{h}")), h, "left")
-        return lines.where("in_h1 or in_h2").drop("in_h1", "in_h2", "h1", "h2")
+        return lines.where("in_h1 or in_h2").drop("in_h1", "in_h2")
 
     context = ["record_table", "record_key", "line", "s", "before", "after", "top", "bottom", "width"]
-    edge = written(shared(edges).withColumn("t", line_templates()).select(*context, "t"), "p5edge")
-    repeated = edge.select(F.explode("t").alias("t")).groupBy("t.template").agg(F.count("*").alias("n_edge")).where("n_edge > 1")
+    edge = written(shared(edges, halves_of(edges, 2)).withColumn("t", line_templates()).select(*context, "t", "h1", "h2"), "p5edge")
+    repeated = written(edge.select(F.explode("t").alias("t")).groupBy("t.template").agg(F.count("*").alias("n_edge")).where("n_edge > 1"), "p5repeated")
+    running = edge.select("h1", "h2", F.explode("t.template").alias("template")).join(repeated, "template", "left_semi")
     inner = every.where(~at_edge).withColumn("weight", F.lit(1))
     other = text_lines(clean.select(F.lit("clean").alias("record_table"), "record_key", "text"), "record_table", "record_key").withColumn("weight", F.lit(1))
     once = titles.groupBy("text").agg(F.count("*").cast("int").alias("weight")).where(F.col("text").rlike(r"\S"))
     title = text_lines(once.select(F.lit("title").alias("record_table"), F.lit("").alias("record_key"), "text", "weight"), "record_table", "record_key", "weight")
-    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title))).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
+    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title)), halves_of(running, 1)).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
     outside = F.col("record_table").isin("clean", "title")
     elsewhere = rest.select(outside.alias("o"), "weight", F.explode("t").alias("t")).groupBy("t.template").agg(F.sum(F.when(F.col("o"), 0).otherwise(F.col("weight"))).alias("n_inner"), F.sum(F.when(F.col("o"), F.col("weight")).otherwise(0)).alias("n_other"))
     stats = written(repeated.join(elsewhere, "template", "left").fillna(0, ["n_inner", "n_other"]), "p5templates")
@@ -523,7 +538,7 @@ def repair(text: str, words: dict[str, str], drop: list[int]) -> tuple[str, list
         kinds.add("broken")
         return a + b
 
-    if _BREAK.search(body):
+    if _HYPHEN.search(body):
         body = _BROKEN.sub(join, body)
     low, edits_ = shadow(body), []
     for m in _WORD.finditer(low):
