@@ -4,12 +4,12 @@ Three steps:
 
 1. ``fold`` removes what never shows, character by character: width, the way a letter is composed, kinds of
    blank, invisible characters, ligatures, radicals used as ideographs, kinds of hyphen.
-2. Script-aware repair: a token that mixes scripts is read in its dominant script. Where the dominant script
-   leaves a choice, the reading that the corpus vocabulary holds wins; the vocabulary is counted over all rows.
-3. Rows of one group whose repaired forms agree look the same.
-
-Deviation from the plain method: a mixed token whose reading is in no vocabulary is still given its dominant
-script, because two records that look the same must get one form even if the clean spelling never occurs.
+2. Script-aware repair: a token that mixes scripts is read in its dominant script, but only where the corpus
+   vocabulary, counted over all rows without the tokens in doubt, holds that reading; the reading most texts hold
+   wins. Tokens of one script and readings that no text holds stay as they are, so forms are faithful. What a token is
+   read as depends on the token and the vocabulary only, not on the text around it.
+3. Rows of one group whose repaired forms look the same are pairs: forms are compared with every look-alike letter
+   put to one of its kind, so a look-alike that was not repaired is found too.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import unicodedata
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,32 +105,31 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def readings(token: str) -> tuple[str, list[str]] | None:
-    """Default reading and all readings of an alphabetic token; None where nothing is in doubt.
+SCRIPTS = ("Latin", "Greek", "Cyrillic")
 
-    Both depend on what the token looks like only, so equal-looking tokens get equal readings.
-    """
+
+def readings(token: str) -> list[str]:
+    """Readings of a token that mixes alphabets in one of them, the dominant one (by its letters) first; empty for a
+    token of one alphabet or one that no single alphabet can hold."""
     if not _FOREIGN.search(token):
-        return None
+        return []
+    share = {s: len(_ALPHABET[s].findall(token)) for s in SCRIPTS}
+    if sum(n > 0 for n in share.values()) < 2:
+        return []
     plain = token.translate(SKELETON)
-    firm = {s: sum(1 for ch in token if rx.match(ch) and ch not in TO_LATIN and ch not in LATIN_TO["Greek"] and ch not in LATIN_TO["Cyrillic"]) for s, rx in _ALPHABET.items()}
     options = []
-    for script in ("Latin", "Greek", "Cyrillic"):
-        if any(n for s, n in firm.items() if s != script):
-            continue
+    for script in sorted(SCRIPTS, key=lambda s: -share[s]):
         table = {} if script == "Latin" else LATIN_TO[script]
-        if script != "Latin" and any(_ALPHABET["Latin"].match(ch) and ch not in table for ch in plain):
-            continue
-        options.append("".join(table.get(ch, ch) for ch in plain))
-    if not options:  # letters of several scripts that look like no other: only the doubtful ones are made Latin
-        return plain, [plain]
-    return options[0], options
+        read = "".join(table.get(ch, ch) for ch in plain)
+        if read != token and all(not rx.search(read) for s, rx in _ALPHABET.items() if s != script):
+            options.append(read)
+    return options
 
 
-def cjk_readings(run: str) -> tuple[str, list[str]] | None:
+def cjk_readings(run: str) -> list[str]:
     """The same for a run of katakana and ideographs; each doubtful character follows its firm neighbours."""
     if not _AMBIGUOUS_CJK.search(run):
-        return None
+        return []
 
     def firm(ch: str) -> str:
         return "" if ch in HAN_KANA or ch in KANA_HAN else "h" if regex.match(r"\p{Han}", ch) else "k"
@@ -157,28 +156,18 @@ def cjk_readings(run: str) -> tuple[str, list[str]] | None:
             second.append(KANA_HAN[kana] if a == "k" else kana)
         i = j
     a, b = "".join(first), "".join(second)
-    return (a, [a, b]) if doubt else (a, [a])
+    return [r for r in ((a, b) if doubt else (a,)) if r != run]
 
 
-def pieces(folded: str) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, default, readings) of each token whose characters are in doubt."""
-    out = []
+def pieces(folded: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, readings) of each token in doubt."""
     if folded.isascii():
-        return out
+        return []
+    out = []
     if _FOREIGN.search(folded):
-        for m in _TOKEN.finditer(folded):
-            r = readings(m[0])
-            if not r:
-                continue
-            own = [s for s, rx in _ALPHABET.items() if rx.search(m[0])]
-            if len(own) == 1 and any(rx.match(ch) and ch not in TO_LATIN for s, rx in _ALPHABET.items() if s == own[0] for ch in folded):
-                continue  # a word of one script inside a text of that script is what it is
-            out.append((m.start(), m.end(), *r))
+        out += [(m.start(), m.end(), r) for m in _TOKEN.finditer(folded) if (r := readings(m[0]))]
     if _AMBIGUOUS_CJK.search(folded):
-        for m in _CJK.finditer(folded):
-            if r := cjk_readings(m[0]):
-                if len(r[1]) > 1 or r[0] != m[0]:
-                    out.append((m.start(), m.end(), *r))
+        out += [(m.start(), m.end(), r) for m in _CJK.finditer(folded) if (r := cjk_readings(m[0]))]
     return sorted(out)
 
 
@@ -206,15 +195,11 @@ def _vocabulary_pass(batches):
 
 
 def decide(base: DataFrame) -> DataFrame:
-    """Step 2's vocabulary: for each token in doubt the reading that most texts hold (default where none does)."""
-    asked = base.where("parts is not null").select(F.explode("parts").alias("p")).select(F.col("p.t").alias("default"), F.explode("p.o").alias("word")).distinct()
+    """token, reading: for each token in doubt the reading that most texts hold, the dominant script's on ties; tokens none
+    of whose readings any text holds have no row."""
+    asked = base.where("parts is not null").select(F.explode("parts").alias("p")).select(F.col("p.t").alias("token"), F.col("p.o").alias("o")).distinct().select("token", F.posexplode("o").alias("place", "word"))
     counted = base.select(F.coalesce("form", "txt").alias("form"), "parts").mapInArrow(_vocabulary_pass, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return (
-        asked.join(counted, "word")
-        .groupBy("default")
-        .agg(F.max_by("word", F.struct("n", (F.col("word") == F.col("default")).cast("int"), "word")).alias("reading"))
-        .where("reading <> default")
-    )
+    return asked.join(counted, "word").groupBy("token").agg(F.max_by("word", F.struct("n", -F.col("place"))).alias("reading"))
 
 
 @F.pandas_udf(FOLDED)
@@ -225,16 +210,12 @@ def _fold_udf(texts: pd.Series) -> pd.DataFrame:
             forms.append(None)
             parts.append(None)
             continue
-        folded, at, out, open_ = fold(text), 0, [], []
-        for start, end, default, options in pieces(folded):
-            out += [folded[at:start], default]
-            if len(options) > 1:
-                open_.append({"a": "".join(out[:-1]), "t": default, "o": options})
-                out = []
+        folded, at, open_ = fold(text), 0, []
+        for start, end, options in pieces(folded):
+            open_.append({"a": folded[at:start], "t": folded[start:end], "o": options})
             at = end
-        out.append(folded[at:])
-        form = "".join(out)  # where tokens are open: what follows the last of them
-        forms.append(None if form == text and not open_ else form)  # null: the text is its own form
+        form = folded[at:]  # where tokens are in doubt: what follows the last of them
+        forms.append(None if form == text else form)  # null: the text is its own form
         parts.append(open_ or None)
     return pd.DataFrame({"form": forms, "parts": parts})
 
@@ -249,25 +230,33 @@ def repaired(rows: DataFrame) -> DataFrame:
     base = written(rows.withColumn("f", _fold_udf("txt")).select("record_table", "record_key", "grp", "txt", "f.form", "f.parts"), "p1base")
     closed = base.where("parts is null").select("record_table", "record_key", "grp", "txt", F.coalesce("form", "txt").alias("form"))
     opened = base.where("parts is not null")
-    spread = opened.select("record_table", "record_key", F.posexplode("parts").alias("i", "p")).select("record_table", "record_key", "i", "p.a", F.col("p.t").alias("default"))
+    spread = opened.select("record_table", "record_key", F.posexplode("parts").alias("i", "p")).select("record_table", "record_key", "i", "p.a", F.col("p.t").alias("token"))
     read = (
-        spread.join(decide(base), "default", "left")
+        spread.join(decide(base), "token", "left")
         .groupBy("record_table", "record_key")
-        .agg(F.array_sort(F.collect_list(F.struct("i", F.concat("a", F.coalesce("reading", "default")).alias("s")))).alias("l"))
+        .agg(F.array_sort(F.collect_list(F.struct("i", F.concat("a", F.coalesce("reading", "token")).alias("s")))).alias("l"))
     )
     return closed.unionByName(
         opened.drop("parts").join(read, ["record_table", "record_key"]).select("record_table", "record_key", "grp", "txt", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), ""), "form").alias("form"))
     )
 
 
+ALIKE = TO_LATIN | HAN_KANA
+
+
+def looks(form: Column) -> Column:
+    """A form with every look-alike put to one of its kind: equal for what a reader cannot tell apart."""
+    return F.translate(form, "".join(ALIKE), "".join(ALIKE.values()))
+
+
 def equal_looking(forms: DataFrame) -> DataFrame:
-    """Pairs of records of one group whose forms agree and whose texts do not, smaller key first.
+    """Pairs of records of one group whose forms look the same and whose texts are not equal, smaller key first.
 
     Only 256-bit digests travel. Copies of one string are grouped first, so a hot group costs its distinct
     strings and its true pairs only. Rows with a null group or text take part in no pair.
     """
-    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
-    strings = written(forms.where("grp is not null and txt is not null").select("record_table", "grp", digest("form").alias("h"), digest("txt").alias("t"), "record_key"), "p1")
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    strings = written(forms.where("grp is not null and txt is not null").select("record_table", "grp", digest(looks(F.col("form"))).alias("h"), digest(F.col("txt")).alias("t"), "record_key"), "p1")
     variants = strings.select("record_table", "grp", "h", "t").distinct()
     several = variants.groupBy("record_table", "grp", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     who = strings.select("record_table", "grp", "h", "t", "record_key").join(several, ["record_table", "grp", "h"], "left_semi")

@@ -4,8 +4,13 @@ Efraimidis-Spirakis sampling without replacement: each document draws an exponen
 quality weight; sorted by key, the documents of a source come in the order of a weighted draw. A source's token
 budget is met by complete epochs over all its documents first and then by the prefix of that order which fits.
 
-The prefix sum is distributed: keys fall into ``BUCKETS`` ordered buckets per (mix, source), bucket totals are
-summed first, and only the one bucket in which the budget runs out is sorted row by row.
+The prefix sum is distributed: keys fall into ``BUCKETS`` ordered buckets per (mix, source) whose borders are quantiles
+of that pair's own keys, bucket totals are summed first, and only the one bucket in which the budget runs out, a
+small share of the source however the weights lie, is sorted row by row.
+
+Quality is fitted to the corpus without labels: a document is worth the more the less its characters a token, its share
+of letters and its share of different lines lie from what is usual in its source, so code, tables and lists count as
+good where they are usual, and garbled or repetitive text counts little anywhere.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
 
 
 def letter_share(text: Column) -> Column:
@@ -21,16 +26,33 @@ def letter_share(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, r"[^\p{L}\p{M}]", "")) / F.greatest(F.char_length(text), F.lit(1))
 
 
-def quality_weight(letters: Column, n_tokens: Column) -> Column:
-    """Weight in (0, 1]: the share of letters, less for very short texts."""
-    return F.greatest(F.lit(0.01), letters * (1 - F.exp(-n_tokens / 32.0)))
+def line_share(text: Column) -> Column:
+    """Share of different lines among the printed lines of a text."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: s != "")
+    return F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+
+
+FEATURES = ["density", "letters", "lines"]
+
+
+def with_quality(sizes: DataFrame) -> DataFrame:
+    """Adds weight in (0, 1] to sizes (doc_id, source, n_tokens, chars, letters, lines): exp of minus half the mean distance
+    of the features from their source's median, in its interquartile ranges, each 4 at most.
+
+    Medians and ranges are sketches over all documents of a source, one row a source.
+    """
+    x = sizes.withColumn("density", F.col("chars") / F.greatest("n_tokens", F.lit(1)))
+    usual = x.groupBy("source").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q_{f}") for f in FEATURES])
+    z = [F.least(F.lit(4.0), F.abs(F.col(f) - F.col(f"q_{f}")[1]) / F.greatest(F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0], F.abs(F.col(f"q_{f}")[1]) * 0.05 + 1e-6)) for f in FEATURES]
+    return x.join(F.broadcast(usual), "source").withColumn("weight", F.exp(-0.5 * sum(z, F.lit(0.0)) / len(z))).drop("density", *[f"q_{f}" for f in FEATURES])  # usual: one row a source
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row per (mix, source) target with the source's size, the token budget, whole epochs and the rest.
 
     Without ``total_tokens`` a mix is as large as its targets allow: the largest total at which every source
-    that has documents reaches its share within its repeats. With it, a source out of reach is used to its cap.
+    that has documents reaches its share within its repeats. With it, a source out of reach is used to its cap, its
+    target stays unreached, and nothing else shrinks for it.
     """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     wanted = targets.where("mix_name is not null and source is not null and target_share > 0").groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
@@ -52,12 +74,11 @@ def draw(sizes: DataFrame, plan: DataFrame, seed: int = 20240607) -> DataFrame:
     """
     p = plan.select("mix_name", "source", "epochs", "rest", "max_repeats")
     u = (F.xxhash64("mix_name", "doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    keyed = (
-        sizes.join(p, "source")
-        .withColumn("key", -F.log(u) / F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6)))
-        .withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key") / 2)) * BUCKETS)).cast("int"))
-    )
     group = ["mix_name", "source"]
+    drawn = sizes.join(F.broadcast(p), "source").withColumn("key", -F.log(u) / F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6)))  # p: one row a target
+    borders = drawn.where("rest > 0").groupBy(*group).agg(F.percentile_approx("key", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("borders"))
+    bucket = F.coalesce(F.aggregate("borders", F.lit(0), lambda n, b: n + (b < F.col("key")).cast("int")), F.lit(0))
+    keyed = drawn.join(F.broadcast(borders), group, "left").withColumn("bucket", bucket).drop("borders")  # borders: one row a target
     w = Window.partitionBy(*group).orderBy("bucket")
     filled = (
         keyed.where("rest > 0")

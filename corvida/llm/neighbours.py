@@ -7,8 +7,9 @@ An inverted-file index with balanced, replicated posting lists:
 * Centroids come from balanced k-means on a bounded sample (``SAMPLE`` vectors a profile); every vector is indexed.
 * A vector near a border is replicated: it joins each list whose centroid is at most ``1 + REPLICATE`` times as far
   as its nearest, unless that centroid lies nearer to one already chosen than to the vector (such a list adds nothing).
-* A query finds its nearest centroids by a best-first walk on an in-memory neighbour graph of the centroids, and
-  searches the lists within ``1 + PRUNE`` times the distance of the nearest.
+* A query finds its nearest centroids by a best-first walk on an in-memory neighbour graph of the centroids (a batch
+  of queries walks in step), and searches the lists within ``1 + PRUNE`` times the distance of the nearest, ``PROBES``
+  at most.
 * Each list is searched exactly in blocks of at most ``BLOCK`` members, so a list that holds a third of all rows
   is many tasks, and partial top-k rows are merged per query.
 
@@ -18,8 +19,6 @@ nearest of anything. Scores are computed in double precision from the stored vec
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,7 +28,7 @@ from corvida.session import written
 
 SAMPLE, LIST_SIZE, MOST_LISTS = 16384, 384, 16384  # the sample grows to 4 vectors a list where there are more lists
 MOST_INDEX_BYTES = 256 << 20
-REPLICATE, PRUNE, COPIES = 0.12, 0.35, 6
+REPLICATE, PRUNE, COPIES, PROBES = 0.15, 0.3, 4, 8
 BLOCK, DEGREE = 2048, 16
 
 
@@ -48,7 +47,7 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """One entry per distinct vector of a profile: its smallest id (``entry``), the k + 1 smallest (``members``), how many (``n``)."""
+    """One entry per distinct vector of a profile: its smallest id (``entry``), the k + 1 smallest (``members``), and how many of those 64 ranges of ids hold at most k + 1 each (``n``, more than 1 for copies)."""
     group = ["profile_hash", "distance", "h", "vector"]
     # top-k in two steps, so a vector with very many copies is never collected in one row
     part = Window.partitionBy(*group, F.pmod("vec_rowid", F.lit(64))).orderBy("vec_rowid")
@@ -97,7 +96,7 @@ def balanced_centroids(sample: np.ndarray, n_lists: int, seed: int = 7, rounds:
 
 
 class CentroidGraph:
-    """Neighbour graph over the centroids, walked best-first from a few fixed entries."""
+    """Neighbour graph over the centroids, walked best-first from a few fixed entries by many queries in step."""
 
     def __init__(self, centroids: np.ndarray):
         self.c, n = centroids, len(centroids)
@@ -109,38 +108,51 @@ class CentroidGraph:
             links.append(np.argsort(d, axis=1, kind="stable")[:, :degree])
         near = np.concatenate(links)
         pairs = np.stack([np.repeat(np.arange(n), degree), near.ravel()], axis=1)
-        pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
-        self.out = np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, n))) if degree else [np.zeros(0, int)] * n
-        self.entries = np.unique(np.linspace(0, n - 1, min(n, 48)).astype(int))
-
-    def search(self, x: np.ndarray, ratio: float, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per row of x: the centroids within ``ratio`` times the nearest one's distance (at least ``least``), nearest first."""
-        found, reach = [], ratio * 1.1
+        pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0) if degree else np.zeros((0, 2), np.int64)
+        # neighbours of each node in one row, filled up with -1; the nearest 2 * DEGREE of a node that very many point to
+        order = np.lexsort((((centroids[pairs[:, 0]] - centroids[pairs[:, 1]]) ** 2).sum(1), pairs[:, 0]))
+        pairs = pairs[order]
+        nth = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
+        kept = nth < 2 * DEGREE
+        self.out = np.full((n, int(nth[kept].max(initial=-1)) + 1), -1, dtype=np.int64)
+        self.out[pairs[kept, 0], nth[kept]] = pairs[kept, 1]
+        self.entries = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(int))
+
+    def search(self, x: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest centroids of each row of x, nearest first, and their distances. A row's walk ends when all
+        its best are expanded or the next lies beyond ``ratio`` times the nearest."""
+        parts = [self._walk(x[i : i + 1024], min(width, len(self.c)), ratio) for i in range(0, len(x), 1024)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _walk(self, x: np.ndarray, width: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        beam = max(width, min(16, len(self.c)))
         first = _distances(x, self.c[self.entries])
-        for row, q in enumerate(x):
-            seen = np.full(len(self.c), np.inf, dtype=np.float32)
-            seen[self.entries] = first[row]
-            heap = [(float(first[row, i]), int(self.entries[i])) for i in np.argsort(first[row])[:4]]
-            nearest = heap[0][0]
-            while heap:
-                d, i = heapq.heappop(heap)
-                if d > nearest * reach and np.count_nonzero(seen <= d) > least:
-                    break
-                new = self.out[i]
-                new = new[np.isinf(seen[new])]
-                if len(new):
-                    diff = self.c[new] - q
-                    dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                    seen[new] = dist
-                    nearest = min(nearest, float(dist.min()))
-                    for e, j in zip(dist.tolist(), new.tolist()):
-                        if e <= nearest * reach * 1.3 or len(heap) < least:
-                            heapq.heappush(heap, (e, j))
-            ids = np.flatnonzero(seen < np.inf)
-            ids = ids[np.argsort(seen[ids], kind="stable")]
-            keep = max(least, int((seen[ids] <= seen[ids[0]] * ratio + 1e-9).sum()))
-            found.append((ids[:keep], seen[ids[:keep]].astype(float)))
-        return found
+        take = np.argsort(first, axis=1, kind="stable")[:, :beam]
+        d = np.take_along_axis(first, take, axis=1)
+        ids = self.entries[take]
+        if d.shape[1] < beam:
+            fill = beam - d.shape[1]
+            d, ids = np.pad(d, ((0, 0), (0, fill)), constant_values=np.inf), np.pad(ids, ((0, 0), (0, fill)), constant_values=-1)
+        done = np.isinf(d)
+        rows = np.arange(len(x))
+        while len(rows) and self.out.shape[1]:
+            open_ = np.where(done[rows], np.inf, d[rows])
+            best = np.argmin(open_, axis=1)
+            far = open_[np.arange(len(rows)), best]
+            go = np.isfinite(far) & ((far <= d[rows, 0] * ratio + 1e-9) | np.isinf(d[rows, width - 1]))
+            rows, best = rows[go], best[go]
+            if not len(rows):
+                break
+            done[rows, best] = True
+            new = self.out[ids[rows, best]]
+            known = (new[:, :, None] == ids[rows][:, None, :]).any(2) | (new < 0)
+            diff = self.c[new] - x[rows][:, None, :]
+            dist = np.where(known, np.inf, np.sqrt(np.einsum("bij,bij->bi", diff, diff)))
+            all_d, all_i = np.concatenate([d[rows], dist], axis=1), np.concatenate([ids[rows], new], axis=1)
+            all_done = np.concatenate([done[rows], np.isinf(dist)], axis=1)
+            order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+            d[rows], ids[rows], done[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1), np.take_along_axis(all_done, order, 1)
+        return ids[:, :width], d[:, :width]
 
 
 class Index:
@@ -150,41 +162,43 @@ class Index:
         self.distance, self.bound = distance, bound
         self.graph = CentroidGraph(balanced_centroids(mapped(sample, distance, bound, False), n_lists))
 
-    def lists(self, x: np.ndarray, least: int) -> tuple[list[list[int]], list[list[int]]]:
-        """Posting lists that hold each vector (the nearest and, near borders, further ones in other directions),
-        and those that it must search as a query (pruned by the ratio of distances)."""
-        c, stored = self.graph.c, []
-        walked = self.graph.search(mapped(x, self.distance, self.bound, False), 1 + max(REPLICATE, PRUNE), least)
-        for ids, ds in walked:
-            chosen = [int(ids[0])]
-            for i, d in zip(ids[1:].tolist(), ds[1:].tolist()):
-                if d > ds[0] * (1 + REPLICATE) or len(chosen) >= COPIES:
-                    break
-                if min(float(((c[i] - c[j]) ** 2).sum()) for j in chosen) > d * d:
-                    chosen.append(i)
-            stored.append(chosen)
+    def lists(self, x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list) of the posting lists that hold each vector (the nearest and, near borders, further ones in other
+        directions), and (row, list) of those it must search as a query (pruned by the ratio of distances)."""
+        ratio = 1 + max(REPLICATE, PRUNE)
+        ids, d = self.graph.search(mapped(x, self.distance, self.bound, False), max(PROBES, least), ratio)
+        c = self.graph.c[ids]
+        chosen = np.zeros(ids.shape, bool)
+        chosen[:, 0] = True
+        for j in range(1, ids.shape[1]):
+            apart = ((c[:, j, None, :] - c[:, :j, :]) ** 2).sum(2) > (d[:, j] ** 2)[:, None]
+            chosen[:, j] = (ids[:, j] >= 0) & (d[:, j] <= d[:, 0] * (1 + REPLICATE)) & (chosen.sum(1) < COPIES) & (apart | ~chosen[:, :j]).all(1)
+        held = np.nonzero(chosen)
+        stored = held[0], ids[held]
         if self.distance == "inner_product":
-            walked = self.graph.search(mapped(x, self.distance, self.bound, True), 1 + PRUNE, least)
-        return stored, [ids[: max(least, int((ds <= ds[0] * (1 + PRUNE) + 1e-9).sum()))].tolist() for ids, ds in walked]
+            ids, d = self.graph.search(mapped(x, self.distance, self.bound, True), max(PROBES, least), ratio)
+        within = (ids >= 0) & ((d <= d[:, :1] * (1 + PRUNE) + 1e-9) | (np.arange(ids.shape[1]) < least))
+        asked = np.nonzero(within)
+        return *stored, asked[0], ids[asked]
 
 
 def build(entries: DataFrame) -> list[tuple[str, Index]]:
     """Index of each profile, from a bounded sample of its entries (by hash, so the same every time)."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    stats = entries.groupBy("profile_hash", "distance").agg(F.count("*").alias("n"), F.max(norm).alias("bound")).orderBy("profile_hash", "distance").collect()
-    out, size = [], 0
+    stats = entries.groupBy("profile_hash", "distance").agg(F.count("*").alias("n"), F.max(norm).alias("bound"), F.max(F.size("vector")).alias("width")).orderBy("profile_hash", "distance").collect()
+    out = []
     for s in stats:
-        n_lists = max(1, min(MOST_LISTS, -(-s.n // LIST_SIZE)))
-        most = max(SAMPLE, 4 * n_lists)
         rows = entries.where((F.col("profile_hash") == s.profile_hash) & (F.col("distance") == s.distance))
+        width = int(s.width)
+        # the broadcast index stays within its bound: beyond it lists grow longer and are searched in more blocks
+        fits = MOST_INDEX_BYTES // (len(stats) * 4 * (width + 1 + 4 * DEGREE))
+        n_lists = max(1, min(MOST_LISTS, fits, -(-s.n // LIST_SIZE)))
+        most = max(SAMPLE, 4 * n_lists)
         share = int(min(1.0, 1.1 * most / s.n) * 1_000_000) + 1
         picked = rows.where(F.pmod(F.xxhash64("entry", F.lit(11)), F.lit(1_000_000)) < share).select("vector").limit(most).toArrow()
         flat = picked.column("vector").combine_chunks()
-        index = Index(s.distance, float(s.bound), flat.values.to_numpy(zero_copy_only=False).reshape(len(flat), -1), n_lists)
-        size += index.graph.c.nbytes * 3
-        if size > MOST_INDEX_BYTES:
-            raise ValueError("the centroids of all profiles are too large to broadcast; raise LIST_SIZE")
-        out.append((f"{s.profile_hash} {s.distance}", index))
+        sample = flat.values.to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        out.append((f"{s.profile_hash} {s.distance}", Index(s.distance, float(s.bound), sample, n_lists)))
     return out
 
 
@@ -199,7 +213,7 @@ def scores(q: np.ndarray, m: np.ndarray, distance: str) -> np.ndarray:
     return q @ m.T
 
 
-def nearest(rows: DataFrame, k: int = 10, least_lists: int = 6) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, least_lists: int = 4) -> DataFrame:
     """query, neighbour, score and rank (1..k) for every usable vector.
 
     Ties of the score rounded to 9 digits go to the smaller id. Defined cases: vectors that are null, of another
@@ -218,9 +232,9 @@ def nearest(rows: DataFrame, k: int = 10, least_lists: int = 6) -> DataFrame:
             for (profile, distance), g in pdf.groupby(["profile_hash", "distance"], sort=False):
                 code, x = codes[f"{profile} {distance}"], np.stack(g["vector"].to_numpy())
                 ids = g["entry"].to_numpy()
-                for side, lists in enumerate(shared.value[code][1].lists(x, least_lists)):
-                    i = np.repeat(np.arange(len(g)), [len(c) for c in lists])
-                    yield pd.DataFrame({"p": np.int32(code), "list": np.concatenate(lists).astype(np.int32), "side": np.int32(side), "entry": ids[i], "vector": list(x[i])})
+                held, lists, asking, asked = shared.value[code][1].lists(x, least_lists)
+                for side, (i, which) in enumerate(((held, lists), (asking, asked))):
+                    yield pd.DataFrame({"p": np.int32(code), "list": which.astype(np.int32), "side": np.int32(side), "entry": ids[i], "vector": list(x[i])})
 
     postings = written(entries.select("profile_hash", "distance", "entry", "vector").mapInPandas(assign, "p int, list int, side int, entry bigint, vector array<float>"), "p2lists")
     return _expand(_search(postings, [index.distance for _, index in indexes], k), rows, entries, k)

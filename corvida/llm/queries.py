@@ -72,11 +72,12 @@ def p7_roundtrip(spark, d):
 
 
 def _p8(spark, d):
-    docs = load(spark, d, "documents").where("source is not null and text is not null and text <> ''").select("doc_id", "source", "text", mixing.letter_share(F.col("text")).alias("letters"))
-    counted = tokenise.token_counts(docs, ["doc_id", "source", "letters"]).where("n_tokens > 0").dropDuplicates(["doc_id"])
-    sizes = written(counted.select("doc_id", "source", "n_tokens", mixing.quality_weight(F.col("letters"), F.col("n_tokens")).alias("weight")), "p8")
+    t = F.col("text")
+    docs = load(spark, d, "documents").where("source is not null and text is not null and text <> ''").select("doc_id", "source", "text", F.char_length("text").alias("chars"), mixing.letter_share(t).alias("letters"), mixing.line_share(t).alias("lines"))
+    counted = tokenise.token_counts(docs, ["doc_id", "source", "chars", "letters", "lines"]).where("n_tokens > 0").dropDuplicates(["doc_id"])
+    sizes = written(mixing.with_quality(written(counted, "p8")).select("doc_id", "source", "n_tokens", "weight"), "p8")
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0  # a mix as large as the corpus: scarce sources go to their cap, the rest is not cut
-    plan = mixing.budgets(sizes, load(spark, d, "mix_targets"), total_tokens=total)
+    plan = written(mixing.budgets(sizes, load(spark, d, "mix_targets"), total_tokens=total), "p8plan")
     return mixing.draw(sizes, plan), plan
 
 

@@ -48,7 +48,7 @@ _EAST = _KANA + "々〆㐀-䶿一-鿿豈-龎"
 # Further pairs of kana and ideographs or kana of two kinds that look alike.
 ALIKE = {"ー": "一", "へ": "ヘ", "り": "リ", "ハ": "八", "ミ": "三", "チ": "千"}
 
-_BROKEN = re.compile(rf"([^\W\d_]+)([{BREAKS}])[ \t]*\r?\n[ \t]*((?=[^\W\d_])[{_LOWER}а-џ][^\W\d_]*)")
+_BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]++)([{BREAKS}])[ \t]*\r?\n[ \t]*((?=[^\W\d_])[{_LOWER}а-џ][^\W\d_]*)")
 _BREAK = re.compile(rf"(?<=[^\W\d_])[{BREAKS}][ \t]*\r?\n[ \t]*(?=[{_LOWER}а-џ])")
 _HYPHEN = re.compile(rf"[{BREAKS}][ \t]*\r?\n")
 _WORD = re.compile(rf"(?<![\w\-])(?:[{_LOWER}\u0300-\u036f0-9†|$€§¢]|(?<=[{_LOWER}])[.'`](?=[{_LOWER}]{{2}})){{2,}}+(?!-?\d)(?![\u0400-\u04ff])")
@@ -124,12 +124,17 @@ def tokens(text: str) -> set[str]:
     if "-" in text:
         out.update(_COMPOUND.findall(text))
     if not text.isascii() and _CJK.search(text):
-        out.update("~" + p for p in _SPECK.findall(text))
-        s = "^" + "$^".join(set(_CJK.findall(_SPECK.sub("", text).replace("\n", "")))) + "$"
-        out.update([w for w in map("".join, zip(s, s[1:], s[2:])) if w[1] not in "^$"])
+        out |= east_tokens(text)
     return out
 
 
+def east_tokens(text: str) -> set[str]:
+    """Specks and three-character windows of a folded text."""
+    specks = _SPECK.findall(text)
+    s = "^" + "$^".join(set(_CJK.findall((_SPECK.sub("", text) if specks else text).replace("\n", "")))) + "$"
+    return {w for w in map("".join, zip(s, s[1:], s[2:])) if w[1] not in "^$"} | {"~" + p for p in specks}
+
+
 def windows(run: str) -> list[str]:
     """One window for each character of a run, the character in its middle; ^ and $ stand for the run's borders."""
     s = f"^{run}$"
@@ -381,12 +386,15 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
     context = ["record_table", "record_key", "line", "s", "before", "after", "top", "bottom", "width"]
     edge = written(shared(edges, halves_of(edges, 2)).withColumn("t", line_templates()).select(*context, "t", "h1", "h2"), "p5edge")
     repeated = written(edge.select(F.explode("t").alias("t")).groupBy("t.template").agg(F.count("*").alias("n_edge")).where("n_edge > 1"), "p5repeated")
-    running = edge.select("h1", "h2", F.explode("t.template").alias("template")).join(repeated, "template", "left_semi")
+    running = written(edge.select("h1", "h2", F.char_length("s").alias("size"), F.explode("t.template").alias("template")).join(repeated, "template", "left_semi"), "p5running")
+    # what shares a template with a running line differs in one word: a line twice as long as any is none
+    longest = 2 * (running.agg(F.max("size")).first()[0] or 0)
+    short = F.char_length("s") <= longest
     inner = every.where(~at_edge).withColumn("weight", F.lit(1))
     other = text_lines(clean.select(F.lit("clean").alias("record_table"), "record_key", "text"), "record_table", "record_key").withColumn("weight", F.lit(1))
     once = titles.groupBy("text").agg(F.count("*").cast("int").alias("weight")).where(F.col("text").rlike(r"\S"))
     title = text_lines(once.select(F.lit("title").alias("record_table"), F.lit("").alias("record_key"), "text", "weight"), "record_table", "record_key", "weight")
-    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title)), halves_of(running, 1)).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
+    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title).where(short)), halves_of(running, 1)).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
     outside = F.col("record_table").isin("clean", "title")
     elsewhere = rest.select(outside.alias("o"), "weight", F.explode("t").alias("t")).groupBy("t.template").agg(F.sum(F.when(F.col("o"), 0).otherwise(F.col("weight"))).alias("n_inner"), F.sum(F.when(F.col("o"), F.col("weight")).otherwise(0)).alias("n_other"))
     stats = written(repeated.join(elsewhere, "template", "left").fillna(0, ["n_inner", "n_other"]), "p5templates")
@@ -524,12 +532,11 @@ def repair(text: str, words: dict[str, str], drop: list[int]) -> tuple[str, list
     breaks at its own hyphen is no fault.
     """
     kinds = set()
-    lines = text.replace("\r\n", "\n").split("\n")
     if drop:
         kinds.add("furniture")
         gone = set(drop)
-        lines = [s for i, s in enumerate(lines) if i not in gone]
-    body = solid("\n".join(lines).strip("\n"))
+        text = "\n".join([s for i, s in enumerate(text.replace("\r\n", "\n").split("\n")) if i not in gone])
+    body = solid(text.strip("\n"))
 
     def join(m):
         a, b = m[1], m[3]
@@ -541,11 +548,12 @@ def repair(text: str, words: dict[str, str], drop: list[int]) -> tuple[str, list
     if _HYPHEN.search(body):
         body = _BROKEN.sub(join, body)
     low, edits_ = shadow(body), []
-    for m in _WORD.finditer(low):
-        right = words.get(m[0])
-        if right is not None:
-            edits_.append((m.start(), m.end(), like_case(body[m.start() : m.end()], right)))
-    if not low.isascii() and _CJK.search(low):
+    if not words.keys().isdisjoint(_WORD.findall(low)):
+        for m in _WORD.finditer(low):
+            right = words.get(m[0])
+            if right is not None:
+                edits_.append((m.start(), m.end(), like_case(body[m.start() : m.end()], right)))
+    if not low.isascii() and _CJK.search(low) and not words.keys().isdisjoint(east_tokens(low)):
         specks = {m.start() for m in _SPECK.finditer(low) if "~" + m[0] in words}
         edits_ += [(i, i + 1, "") for i in specks]
         place = [i for i, ch in enumerate(low) if ch != "\n" and i not in specks]
