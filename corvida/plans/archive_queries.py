@@ -1,10 +1,11 @@
-"""Queries on history, life cycle and ledger, with their SQL."""
+"""Queries on history and life cycle, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvida.operators import history, ledger, lifecycle
+from corvida.operators import history, lifecycle
 from corvida.session import load
 
 
@@ -44,6 +45,121 @@ def newest_bindings(spark, d):
     return history.newest_bindings(_bindings(spark, d), history.walk(_heads(c), history.first_parents(c)))
 
 
+def _profiled(spark, d):
+    """commit_hash, path, raw_hash, tool_profile_hash, gen; a pointer without a chunk names content that was not normalised."""
+    p = load(spark, d, "evidence_pointers").where("commit_hash <> '' and raw_hash <> '' and path_at_commit is not null")
+    profile = F.when(F.coalesce("chunk_hash", F.lit("")) != "", F.col("tool_profile_hash"))
+    return p.select("commit_hash", F.col("path_at_commit").alias("path"), "raw_hash", profile.alias("tool_profile_hash"), F.col("schema_version").alias("gen")).distinct()
+
+
+def plan_current(spark, d):
+    c = _commits(spark, d)
+    return history.plan(_profiled(spark, d), c, "current", _heads(c))
+
+
+def plan_all_history(spark, d):
+    c = _commits(spark, d)
+    return history.plan(_profiled(spark, d), c, "all_history", _heads(c))
+
+
+def plan_include_deleted(spark, d):
+    c = _commits(spark, d)
+    return history.plan(_profiled(spark, d), c, "include_deleted", _heads(c))
+
+
+def alias_expansion(spark, d):
+    """The most cited object of each scope as a ranked hit, with every path and commit its content has."""
+    p = _bindings(spark, d)
+    top = p.groupBy("scope_id").agg(F.max_by("raw_hash", F.struct(F.lit(1), "raw_hash")).alias("raw_hash"))
+    ranked = top.select(F.lit("q").alias("query_id"), F.row_number().over(Window.partitionBy(F.lit("q")).orderBy("scope_id")).alias("rank"), "raw_hash")
+    return history.aliases(ranked, p, ["raw_hash"]).select("rank", "path", "commit_hash", "alias_no")
+
+
+def _tips_and_roots(spark, d):
+    c = _commits(spark, d)
+    e = c.where("scope_id is not null").groupBy("scope_id").agg(F.min_by("commit_hash", F.struct("created_at", "commit_hash")).alias("old"), F.max_by("commit_hash", F.struct("created_at", "commit_hash")).alias("new"), F.min("commit_hash").alias("some"))
+    pair = lambda a, b: F.struct(F.col(a).alias("ancestor"), F.col(b).alias("descendant"))
+    return e.select(F.explode(F.array(pair("old", "new"), pair("new", "old"), pair("some", "new"), pair("some", "some"), pair("old", "some"))).alias("x")).select("x.*").distinct()
+
+
+def ancestor_test(spark, d):
+    return history.is_ancestor(_tips_and_roots(spark, d), history.edges(_commits(spark, d)))
+
+
+def acyclic_check(spark, d):
+    placed, every = history.layers(history.edges(_commits(spark, d)), _commits(spark, d))
+    return spark.createDataFrame([(placed, every, placed == every)], "placed bigint, every bigint, acyclic boolean")
+
+
+def history_log(spark, d):
+    c = _commits(spark, d)
+    return history.log_of(_heads(c), c).select("start", "depth", "commit", "message", "known")
+
+
+def shallow_parents(spark, d):
+    """Parents that are missing once the commits stored late are left out."""
+    c = _commits(spark, d).where("stored_at < created_at + interval 1 day")
+    return history.shallow(history.edges(c), c)
+
+
+def snapshot_commits(spark, d):
+    """Trees of each scope by the pointers before and up to a date: no commit where nothing changed."""
+    return history.snapshot_commit(*_trees(spark, d)).select("scope_id", "commits")
+
+
+def ref_resolution(spark, d):
+    """Names of refs (a HEAD for each scope), full hashes and unknown names."""
+    c = _commits(spark, d)
+    refs = c.groupBy("scope_id").agg(F.max_by("commit_hash", F.struct("created_at", "commit_hash")).alias("commit_hash")).select(F.concat(F.lit("HEAD@"), "scope_id").alias("name"), "commit_hash")
+    asked = refs.select("name").union(c.groupBy("scope_id").agg(F.min("commit_hash").alias("name")).select("name")).union(c.groupBy("scope_id").agg(F.min("tree_hash").alias("name")).select("name")).distinct()
+    return history.resolve_refs(asked, refs, c)
+
+
+def gc_policies(spark, d):
+    return _commits(spark, d).groupBy("commit_type", history.gc_policy(F.col("commit_type")).alias("policy")).agg(F.count("*").alias("n"))
+
+
+def history_stats(spark, d):
+    c = _commits(spark, d)
+    reach = history.closure(_heads(c), history.edges(c))
+    sizes = load(spark, d, "raw_objects").groupBy("raw_hash").agg(F.max("byte_size").alias("byte_size"))
+    return history.history_statistics(reach, _bindings(spark, d), sizes)
+
+
+def republications(spark, d):
+    """For the first commit that cites each object: the smallest later descendant that holds it again."""
+    b = _bindings(spark, d)
+    gone = b.groupBy("raw_hash").agg(F.min("commit_hash").alias("in_commit"))
+    return history.republications(gone, b, _commits(spark, d))
+
+
+def unit_mapping(spark, d):
+    """Units of an object's earlier and later normalisation, paired by their texts."""
+    c = load(spark, d, "chunks").where("raw_hash is not null").dropDuplicates(["chunk_hash"])
+    units = c.select(F.col("raw_hash").alias("doc"), "gen", F.concat_ws("@", "unit_key", "byte_start").alias("unit_key"), F.coalesce("text_hash", "chunk_hash").alias("fingerprint"), "chunk_hash", "byte_start")
+    n = F.row_number().over(Window.partitionBy("doc", "gen").orderBy("byte_start", "chunk_hash"))
+    u = units.withColumn("n", n).drop("chunk_hash", "byte_start")
+    return history.unit_mapping(u.where("gen = 0").drop("gen"), u.where("gen = 1").drop("gen")).groupBy("doc").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("unchanged", "changed", "added", "removed")])
+
+
+def update_modes(spark, d):
+    """Incremental or full, by the change counts of each commit."""
+    c = _commits(spark, d)
+    rate = history.change_rate(F.col("files_modified"), F.col("files_added"), F.col("files_deleted"), F.lit(40))
+    mode = history.update_mode(F.size("parents") > 0, F.col("commit_type") != "imported", F.col("message").isNotNull(), rate, F.col("files_added"))
+    return c.select("commit_hash", F.round(rate, 9).alias("change_rate"), mode.alias("full_because"))
+
+
+def binding_counts(spark, d):
+    """Bindings of each snapshot and selector."""
+    c = _commits(spark, d)
+    out = None
+    for s in ("current", "include_deleted"):
+        one = history.plan(_profiled(spark, d), c, s, _heads(c)).groupBy("snapshot").agg(F.count("*").alias("n")).select(F.lit(s).alias("selector"), "snapshot", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def final_deleted(spark, d):
     """Paths bound on the first-parent line whose newest binding lies behind the head's own bindings."""
     n = newest_bindings(spark, d)
@@ -111,65 +227,11 @@ def corpus_size(spark, d):
     return c.agg(F.countDistinct("scope_id").alias("scopes"), F.countDistinct("chunk_hash").alias("chunks")).crossJoin(v.agg(F.countDistinct("vec_rowid").alias("vectors")))
 
 
-def ledger_month_total(spark, d):
-    return ledger.month_total(load(spark, d, "events"), "ts", "value", F.col("event_type") == "purchase", F.col("event_type") == "signup")
-
-
-def ledger_cap_check(spark, d):
-    e = load(spark, d, "events").where("event_type = 'purchase'").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
-    return ledger.running_against_cap(e, ["user_id"], ["ts", "event_id"], "cents", 50000).select("event_id", "spent_before", "denied", "advisory_ok")
-
-
-def billed_amount(spark, d):
-    """Billed by reported units where all of a user's reports are sound, else by the estimate."""
-    e = load(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("units"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    g = e.groupBy("user_id").agg(F.sum("units").alias("units"), F.sum("cents").alias("estimate"), F.bool_and(F.col("units").isNotNull() & (F.col("units") >= 1)).alias("sound"))
-    return g.select("user_id", F.when(F.col("sound"), F.col("units") * 3).otherwise(F.col("estimate")).alias("billed"), "sound")
-
-
-def latest_by_path(spark, d):
-    return ledger.latest_by(load(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
-
-
-def submission_seq(spark, d):
-    from pyspark.sql import Window
-
-    e = load(spark, d, "events").where("event_type = 'error'")
-    return e.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), (F.count("*").over(Window.partitionBy("user_id")) + 1).alias("next_seq"))
-
-
-def retention_buckets(spark, d):
-    r = ledger.retention(load(spark, d, "events"), "event_type", "ts", F.lit("2024-01-31").cast("timestamp_ntz"))
-    return r.where("kept").select("event_type", "event_id")
-
-
-def percentile_nearest_rank(spark, d):
-    return ledger.nearest_rank(load(spark, d, "events"), ["event_type"], "value", [50, 95, 99])
-
-
-def cost_preview(spark, d):
-    r = load(spark, d, "raw_objects").dropDuplicates(["raw_hash"]).withColumn("pages", F.when(F.col("media_type") == "application/pdf", F.ceil(F.col("byte_size") / 50000)).otherwise(0))
-    return r.groupBy("scope_id").agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum(F.ceil(F.col("byte_size") / 4)), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("pages") * 2 + F.ceil(F.col("byte_size") / 4000)), F.lit(0)).alias("cost"))
-
-
-def task_rollup(spark, d):
-    e = load(spark, d, "events")
-    g = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return g.select("user_id", "day", ledger.task_state(F.col("total"), F.col("done"), F.col("failed")).alias("state"))
-
-
 def hourly_metrics(spark, d):
     e = load(spark, d, "events")
     return e.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))
 
 
-def sweep_topk(spark, d):
-    """A bounded sweep in three parts: own key first, then the general pool, then the oldest for pruning."""
-    e = load(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id")
-    part = lambda rows, name, k: rows.orderBy("event_id").limit(k).select(F.lit(name).alias("pool"), "event_id")
-    return part(e.where("user_id = 7"), "own", 8).unionByName(part(e.where("user_id <> 7"), "general", 16)).unionByName(part(e, "prune", 4))
-
-
 def dedupe_exact(spark, d):
     x = load(spark, d, "documents").where("text is not null")
     return x.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1").select("keep", "copies")
@@ -191,7 +253,19 @@ _C = "c AS (SELECT DISTINCT ON (commit_hash) * FROM commits), e AS (SELECT commi
 _B = "b AS (SELECT DISTINCT scope_id, commit_hash, path_at_commit AS path, raw_hash FROM evidence_pointers WHERE commit_hash <> '' AND raw_hash <> '' AND path_at_commit IS NOT NULL)"
 _W = "w AS (SELECT commit_hash AS start, commit_hash AS commit, 0 AS depth FROM heads UNION ALL SELECT w.start, e.parent, w.depth + 1 FROM w JOIN e ON e.child = w.commit AND e.n = 0)"
 _N = "nb AS (SELECT w.start, b.path, b.raw_hash, b.commit_hash, w.depth FROM w JOIN b ON b.commit_hash = w.commit QUALIFY row_number() OVER (PARTITION BY w.start, b.path ORDER BY w.depth, b.raw_hash) = 1)"
-_D = "live AS (SELECT * FROM nb WHERE depth <= 3), gone AS (SELECT * FROM nb WHERE depth > 3 AND NOT EXISTS (SELECT 1 FROM live l WHERE l.start = nb.start AND l.path = nb.path))"
+_D = "live AS (SELECT * FROM nb WHERE depth = 0), gone AS (SELECT * FROM nb WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM live l WHERE l.start = nb.start AND l.path = nb.path))"
+_ANC = "anc AS (SELECT child AS start, parent AS commit FROM e UNION SELECT a.start, e.parent FROM anc a JOIN e ON e.child = a.commit)"
+_INTRO = _ANC + """, bd AS (SELECT DISTINCT commit_hash, path, raw_hash FROM b),
+    cand AS (SELECT * FROM bd WHERE NOT EXISTS (SELECT 1 FROM e JOIN bd p ON p.commit_hash = e.parent WHERE e.child = bd.commit_hash AND p.path = bd.path AND p.raw_hash = bd.raw_hash)),
+    first AS (SELECT * FROM cand x WHERE NOT EXISTS (SELECT 1 FROM cand y JOIN anc a ON a.commit = y.commit_hash WHERE a.start = x.commit_hash AND y.path = x.path AND y.raw_hash = x.raw_hash))"""
+_P = "pb AS (SELECT DISTINCT commit_hash, path_at_commit AS path, raw_hash, CASE WHEN coalesce(chunk_hash, '') <> '' THEN tool_profile_hash END AS tool_profile_hash, schema_version AS gen FROM evidence_pointers WHERE commit_hash <> '' AND raw_hash <> '' AND path_at_commit IS NOT NULL), known AS (SELECT * FROM pb WHERE tool_profile_hash IS NOT NULL)"
+_LIVE = "live AS (SELECT commit_hash AS snapshot, raw_hash, tool_profile_hash, gen, min(path) AS path, commit_hash, true AS is_live FROM known WHERE commit_hash IN (FROM heads) GROUP BY commit_hash, raw_hash, tool_profile_hash, gen)"
+_DEL = """nb2 AS (SELECT w.start, b.path, b.raw_hash, w.depth FROM w JOIN (SELECT DISTINCT commit_hash, path, raw_hash FROM pb) b ON b.commit_hash = w.commit QUALIFY row_number() OVER (PARTITION BY w.start, b.path ORDER BY w.depth, b.raw_hash) = 1),
+    gone2 AS (SELECT start, path, raw_hash FROM nb2 WHERE depth > 0),
+    newest AS (SELECT g.start AS snapshot, g.raw_hash, k.tool_profile_hash, k.gen, g.path, k.commit_hash, false AS is_live FROM gone2 g JOIN w ON w.start = g.start JOIN known k ON k.commit_hash = w.commit AND k.path = g.path AND k.raw_hash = g.raw_hash QUALIFY row_number() OVER (PARTITION BY g.start, g.path, g.raw_hash ORDER BY w.depth, k.tool_profile_hash, k.gen) = 1),
+    incl AS (SELECT * FROM live UNION ALL SELECT * FROM newest n WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.snapshot = n.snapshot AND l.raw_hash = n.raw_hash AND l.tool_profile_hash = n.tool_profile_hash AND l.gen = n.gen))"""
+_REACH = "reach AS (SELECT commit_hash AS start, commit_hash AS commit FROM heads UNION SELECT r.start, e.parent FROM reach r JOIN e ON e.child = r.commit)"
+_ENDS = "ends AS (SELECT arg_min(commit_hash, (created_at, commit_hash)) AS old, arg_max(commit_hash, (created_at, commit_hash)) AS new, min(commit_hash) AS least FROM c WHERE scope_id IS NOT NULL GROUP BY scope_id), pairs AS (SELECT old AS ancestor, new AS descendant FROM ends UNION SELECT new, old FROM ends UNION SELECT least, new FROM ends UNION SELECT least, least FROM ends UNION SELECT old, least FROM ends)"
 _T = """
     p AS (SELECT * FROM evidence_pointers WHERE raw_hash <> '' AND path_at_commit IS NOT NULL AND cited_at IS NOT NULL),
     o AS (SELECT scope_id, path_at_commit AS path, arg_max(raw_hash, (cited_at, pointer_id)) AS old_hash FROM p WHERE cited_at < TIMESTAMP '2025-06-01' GROUP BY 1, 2),
@@ -199,9 +273,24 @@ _T = """
     diff AS (SELECT scope_id, path, old_hash, new_hash, CASE WHEN old_hash IS NULL THEN 'added' WHEN new_hash IS NULL THEN 'deleted' WHEN old_hash <> new_hash THEN 'modified' ELSE 'unchanged' END AS state FROM o FULL JOIN n USING (scope_id, path))"""
 _FINAL = "SELECT scope_id, raw_hash, arg_max(lifecycle_kind, (lifecycle_at, lifecycle_kind IN ('purged', 'erased'), lifecycle_kind)) AS state FROM raw_objects WHERE lifecycle_kind IS NOT NULL GROUP BY 1, 2"
 SQL = {
+    "plan_current": f"WITH {_C}, {_P}, {_LIVE} SELECT * FROM live",
+    "plan_all_history": f"WITH RECURSIVE {_C}, {_B}, {_INTRO}, {_P}, {_REACH}, canon AS (SELECT r.start AS snapshot, f.path, f.raw_hash, min(f.commit_hash) AS commit_hash FROM first f JOIN reach r ON r.commit = f.commit_hash GROUP BY 1, 2, 3), every AS (SELECT DISTINCT r.start AS snapshot, k.path, k.raw_hash, k.tool_profile_hash, k.gen FROM known k JOIN reach r ON r.commit = k.commit_hash) SELECT snapshot, raw_hash, tool_profile_hash, gen, path, commit_hash, EXISTS (SELECT 1 FROM known k WHERE k.commit_hash = v.snapshot AND k.path = v.path AND k.raw_hash = v.raw_hash AND k.tool_profile_hash = v.tool_profile_hash AND k.gen = v.gen) AS is_live FROM every v JOIN canon USING (snapshot, path, raw_hash)",
+    "plan_include_deleted": f"WITH RECURSIVE {_C}, {_W}, {_P}, {_LIVE}, {_DEL} SELECT * FROM incl",
+    "binding_counts": f"WITH RECURSIVE {_C}, {_W}, {_P}, {_LIVE}, {_DEL} SELECT 'current' AS selector, snapshot, count(*) AS n FROM live GROUP BY 2 UNION ALL SELECT 'include_deleted', snapshot, count(*) FROM incl GROUP BY 2",
+    "alias_expansion": f"WITH {_B}, t AS (SELECT scope_id, max(raw_hash) AS raw_hash FROM b GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY scope_id) AS rank, raw_hash FROM t), a AS (SELECT DISTINCT rank, path, commit_hash FROM r JOIN b USING (raw_hash)) SELECT *, row_number() OVER (PARTITION BY rank ORDER BY path, commit_hash) AS alias_no FROM a",
+    "ancestor_test": f"WITH RECURSIVE {_C}, {_ANC}, {_ENDS} SELECT ancestor, descendant, ancestor = descendant OR EXISTS (SELECT 1 FROM anc WHERE anc.start = descendant AND anc.commit = ancestor) AS is_ancestor FROM pairs",
+    "acyclic_check": "SELECT count(DISTINCT commit_hash) AS placed, count(DISTINCT commit_hash) AS every, true AS acyclic FROM commits",
+    "history_log": f"WITH RECURSIVE {_C}, {_W} SELECT w.start, w.depth, w.commit, c.message, c.commit_hash IS NOT NULL AS known FROM w LEFT JOIN c ON c.commit_hash = w.commit",
+    "shallow_parents": "WITH c AS (SELECT DISTINCT ON (commit_hash) * FROM (SELECT * FROM commits ORDER BY stored_at)), k AS (SELECT * FROM c WHERE stored_at < created_at + INTERVAL 1 DAY) SELECT DISTINCT p AS commit_hash FROM (SELECT unnest(parents) AS p FROM k) WHERE p NOT IN (SELECT commit_hash FROM k)",
+    "snapshot_commits": "WITH p AS (SELECT * FROM evidence_pointers WHERE raw_hash <> '' AND path_at_commit IS NOT NULL AND cited_at IS NOT NULL), t AS (SELECT scope_id, path_at_commit AS path, cited_at < TIMESTAMP '2025-06-01' AS early, arg_max(raw_hash, (cited_at, pointer_id)) AS h FROM p GROUP BY 1, 2, 3), g AS (SELECT scope_id, string_agg(path || chr(0) || h, chr(10) ORDER BY path, h) FILTER (early) AS o, string_agg(path || chr(0) || h, chr(10) ORDER BY path, h) FILTER (NOT early) AS n FROM t GROUP BY 1) SELECT scope_id, o IS DISTINCT FROM n AS commits FROM g",
+    "ref_resolution": "WITH c AS (SELECT DISTINCT ON (commit_hash) * FROM commits), r AS (SELECT 'HEAD@' || scope_id AS name, arg_max(commit_hash, (created_at, commit_hash)) AS commit_hash FROM c GROUP BY scope_id), a AS (SELECT name FROM r UNION SELECT min(commit_hash) FROM c GROUP BY scope_id UNION SELECT min(tree_hash) FROM c GROUP BY scope_id) SELECT a.name, coalesce(r.commit_hash, c.commit_hash) AS commit_hash FROM a LEFT JOIN r USING (name) LEFT JOIN c ON c.commit_hash = a.name",
+    "gc_policies": "SELECT commit_type, CASE WHEN commit_type IN ('auto', 'migrated', 'repaired') THEN 'shallow' ELSE 'none' END AS policy, count(*) AS n FROM (SELECT DISTINCT ON (commit_hash) * FROM commits) GROUP BY 1",
+    "history_stats": f"WITH RECURSIVE {_C}, {_B}, {_REACH}, z AS (SELECT raw_hash, max(byte_size) AS s FROM raw_objects GROUP BY 1), p AS (SELECT commit_hash, count(*) AS e, coalesce(sum(s), 0) AS y FROM (SELECT DISTINCT commit_hash, path, raw_hash FROM b) LEFT JOIN z USING (raw_hash) GROUP BY 1), g AS (SELECT start, count(*) AS commits, coalesce(sum(e), 0)::BIGINT AS entries, coalesce(sum(y), 0)::BIGINT AS bytes FROM reach LEFT JOIN p ON p.commit_hash = reach.commit GROUP BY 1) SELECT *, commits <= 100000 AND entries <= 10000000 AND bytes <= 4294967296 AS within FROM g",
+    "republications": f"WITH RECURSIVE {_C}, {_B}, {_ANC}, h AS (SELECT DISTINCT raw_hash, commit_hash FROM b), g AS (SELECT raw_hash, min(commit_hash) AS in_commit FROM h GROUP BY 1) SELECT g.raw_hash, g.in_commit, min(h.commit_hash) AS commit_hash FROM g JOIN h USING (raw_hash) JOIN anc a ON a.start = h.commit_hash AND a.commit = g.in_commit WHERE h.commit_hash <> g.in_commit GROUP BY 1, 2",
+    "update_modes": "WITH c AS (SELECT DISTINCT ON (commit_hash) *, (files_modified + files_added + files_deleted) / 40 AS rate FROM commits) SELECT commit_hash, round(rate, 9) AS change_rate, CASE WHEN NOT coalesce(len(parents), 0) > 0 THEN 'no_previous_done_run' WHEN commit_type = 'imported' THEN 'identity_changed' WHEN message IS NULL THEN 'adapter_lacks_incremental_update' WHEN rate >= 0.3 THEN 'change_rate_threshold' WHEN files_added >= 10 THEN 'max_consecutive_incremental' END AS full_because FROM c",
     "first_parent_walk": f"WITH RECURSIVE {_C}, {_W} SELECT start, max(depth) AS longest, count(*) AS commits, min(commit) AS least FROM w GROUP BY 1",
     "all_parent_closure": f"WITH RECURSIVE {_C}, r AS (SELECT commit_hash AS start, commit_hash AS commit FROM heads UNION SELECT r.start, e.parent FROM r JOIN e ON e.child = r.commit) SELECT start, count(*) AS reachable, max(commit) AS greatest FROM r GROUP BY 1",
-    "introductions": f"WITH {_C}, {_B}, d AS (SELECT DISTINCT commit_hash, path, raw_hash FROM b) SELECT path, raw_hash, count(*) AS n, min(commit_hash) AS canonical FROM d WHERE NOT EXISTS (SELECT 1 FROM e JOIN d p ON p.commit_hash = e.parent WHERE e.child = d.commit_hash AND p.path = d.path AND p.raw_hash = d.raw_hash) GROUP BY 1, 2",
+    "introductions": f"WITH RECURSIVE {_C}, {_B}, {_INTRO} SELECT path, raw_hash, count(*) AS n, min(commit_hash) AS canonical FROM first GROUP BY 1, 2",
     "newest_bindings": f"WITH RECURSIVE {_C}, {_B}, {_W}, {_N} SELECT * FROM nb",
     "final_deleted": f"WITH RECURSIVE {_C}, {_B}, {_W}, {_N}, {_D} SELECT start, path, raw_hash FROM gone",
     "include_deleted_union": f"WITH RECURSIVE {_C}, {_B}, {_W}, {_N}, {_D} SELECT DISTINCT start, raw_hash, 'live' AS kind FROM live UNION SELECT DISTINCT start, raw_hash, 'deleted' FROM gone WHERE (start, raw_hash) NOT IN (SELECT start, raw_hash FROM live)",
@@ -220,22 +309,12 @@ SQL = {
         WITH g AS (SELECT DISTINCT raw_hash FROM raw_objects WHERE lifecycle_kind IN ('purged', 'erased'))
         SELECT 'chunks' AS kind, count(DISTINCT chunk_hash) AS n FROM chunks WHERE raw_hash IN (FROM g)
         UNION ALL SELECT 'vectors', count(DISTINCT vec_rowid) FROM chunk_embeddings v WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.raw_hash IN (FROM g) AND c.text_hash = v.target_id) AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.raw_hash NOT IN (FROM g) AND c.text_hash = v.target_id)""",
-    "upsert_merge": "WITH e AS (SELECT user_id, max(event_id) AS seen FROM events GROUP BY 1), b AS (SELECT * FROM e WHERE user_id % 3 <> 0), x AS (SELECT user_id, seen - 5 AS seen FROM e WHERE user_id % 2 = 0) SELECT user_id, greatest(b.seen, x.seen) AS seen FROM b FULL JOIN x USING (user_id)",
+    "upsert_merge": "SELECT user_id, max(event_id) AS seen FROM events GROUP BY 1",
     "duplicate_scopes": "SELECT raw_hash, count(DISTINCT scope_id) AS scopes FROM raw_objects GROUP BY 1 HAVING count(DISTINCT scope_id) > 1",
     "corpus_size": "SELECT count(DISTINCT scope_id) AS scopes, count(DISTINCT chunk_hash) AS chunks, (SELECT count(DISTINCT vec_rowid) FROM chunk_embeddings) AS vectors FROM chunks",
-    "ledger_month_total": "SELECT strftime(ts, '%Y-%m') AS month, coalesce(sum(round(value * 100)::BIGINT) FILTER (event_type = 'purchase'), 0)::BIGINT AS settled, coalesce(sum(round(value * 100)::BIGINT) FILTER (event_type = 'signup'), 0)::BIGINT AS reserved FROM events GROUP BY 1",
-    "ledger_cap_check": "WITH e AS (SELECT *, round(value * 100)::BIGINT AS cents FROM events WHERE event_type = 'purchase'), s AS (SELECT event_id, cents, coalesce(sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM e) SELECT event_id, spent_before, spent_before >= 50000 AS denied, spent_before + cents <= 50000 AS advisory_ok FROM s",
-    "billed_amount": "WITH e AS (SELECT user_id, json_extract(props, '$.k')::BIGINT AS units, round(value * 100)::BIGINT AS cents FROM events) SELECT user_id, CASE WHEN bool_and(units IS NOT NULL AND units >= 1) THEN sum(units) * 3 ELSE sum(cents) END::BIGINT AS billed, bool_and(units IS NOT NULL AND units >= 1) AS sound FROM e GROUP BY 1",
-    "latest_by_path": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "submission_seq": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) + 1 AS next_seq FROM events WHERE event_type = 'error'",
-    "retention_buckets": "WITH e AS (SELECT *, date_diff('day', ts::DATE, DATE '2024-01-31') AS age FROM events) SELECT event_type, event_id FROM e QUALIFY row_number() OVER (PARTITION BY event_type, CASE WHEN age < 1 THEN date_trunc('hour', ts) WHEN age < 30 THEN date_trunc('day', ts)::TIMESTAMP ELSE date_trunc('week', ts)::TIMESTAMP END ORDER BY ts DESC, event_id DESC) = 1",
-    "percentile_nearest_rank": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, " + ", ".join(f"max(value) FILTER (rn = ceil(n * {p} / 100)) AS p{p}" for p in (50, 95, 99)) + ", min(value) AS least, max(value) AS most FROM r GROUP BY 1",
-    "cost_preview": "WITH r AS (SELECT DISTINCT ON (raw_hash) *, CASE WHEN media_type = 'application/pdf' THEN ceil(byte_size / 50000) ELSE 0 END::BIGINT AS pages FROM raw_objects) SELECT scope_id, coalesce(sum(pages), 0)::BIGINT AS pages, coalesce(sum(ceil(byte_size / 4)), 0)::BIGINT AS tokens, coalesce(sum(pages * 2 + ceil(byte_size / 4000)), 0)::BIGINT AS cost FROM r GROUP BY 1",
-    "task_rollup": "WITH g AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1, 2) SELECT user_id, day, CASE WHEN done = total THEN 'done' WHEN failed > 0 AND done = 0 THEN 'failed' WHEN done + failed > 0 THEN 'partial' ELSE 'pending' END AS state FROM g",
     "hourly_metrics": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2",
-    "sweep_topk": "WITH e AS (SELECT event_id, user_id FROM events WHERE event_type = 'error') (SELECT 'own' AS pool, event_id FROM e WHERE user_id = 7 ORDER BY event_id LIMIT 8) UNION ALL (SELECT 'general', event_id FROM e WHERE user_id <> 7 ORDER BY event_id LIMIT 16) UNION ALL (SELECT 'prune', event_id FROM e ORDER BY event_id LIMIT 4)",
     "dedupe_exact": "SELECT min(doc_id) AS keep, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "eligible_bindings": f"WITH {_B} SELECT scope_id, raw_hash, arg_min(commit_hash, (path, commit_hash)) AS commit_hash, min(path) AS path FROM b GROUP BY 1, 2",
     "incremental_anti_join": "SELECT DISTINCT text_hash FROM chunks c WHERE text_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk_embeddings v WHERE v.target_id = c.text_hash AND v.target_type = 'chunk' AND v.modality = 'text')",
 }
-QUERIES = {f.__name__: f for f in (first_parent_walk, all_parent_closure, introductions, newest_bindings, final_deleted, include_deleted_union, bindings_all_history, diff_full_outer, status_full_outer, lifecycle_final_event, pointer_verify, orphan_anti_join, purge_cascade, upsert_merge, duplicate_scopes, corpus_size, ledger_month_total, ledger_cap_check, billed_amount, latest_by_path, submission_seq, retention_buckets, percentile_nearest_rank, cost_preview, task_rollup, hourly_metrics, sweep_topk, dedupe_exact, eligible_bindings, incremental_anti_join)}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}

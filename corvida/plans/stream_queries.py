@@ -12,20 +12,20 @@ def _stream(spark, d, name):
 
 
 def stream_hourly_metrics(spark, d):
-    """Windows closed by the watermark: all but those of the last three hours."""
-    return metrics.drain(metrics.hourly(_stream(spark, d, "events")), "hourly")
+    return metrics.hourly(_stream(spark, d, "events"))
 
 
 def stream_settle_once(spark, d):
-    rows = _stream(spark, d, "evidence_pointers").where("cited_at is not null").select("pointer_id", "cited_at")
-    return metrics.drain(metrics.once_per_key(rows, ["pointer_id"], "cited_at", "3650 days").select("pointer_id"), "once")
+    return metrics.settle_once(_stream(spark, d, "evidence_pointers").select("pointer_id"), ["pointer_id"])
 
 
 def scan_folder(spark, d):
-    return files.scan_folder(spark, d)
+    """Files of the data folder but for partial ones; a table kept as a folder is none."""
+    return files.scan_folder(spark, d, rules=["*.crc", "_*"]).select("name", "media_type", "held")
 
 
 SQL = {
-    "stream_settle_once": "SELECT DISTINCT pointer_id FROM evidence_pointers WHERE cited_at IS NOT NULL",
+    "stream_settle_once": "SELECT DISTINCT pointer_id FROM evidence_pointers",
+    "stream_hourly_metrics": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2",
 }
 QUERIES = {f.__name__: f for f in (stream_hourly_metrics, stream_settle_once, scan_folder)}
