@@ -28,7 +28,7 @@ from corvida.session import written
 
 SAMPLE, LIST_SIZE, MOST_LISTS = 16384, 384, 16384  # the sample grows to 4 vectors a list where there are more lists
 MOST_INDEX_BYTES = 256 << 20
-REPLICATE, PRUNE, COPIES, PROBES = 0.15, 0.3, 4, 8
+REPLICATE, PRUNE, COPIES, PROBES = 0.15, 0.35, 4, 10
 BLOCK, DEGREE = 2048, 16
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvida.llm import lookalike, mixing, neardup, neighbours, scans, sentences, splitting, tokenise
@@ -37,6 +38,16 @@ def p3_found(spark, d):
     return p3_pieces(spark, d).where("piece_no = 0").select("chunk_hash")
 
 
+def p3_covered(spark, d):
+    """Whether the pieces of each oversized chunk stay within the limit, overlap as configured and cover it from end to end."""
+    c = load(spark, d, "chunks").select("chunk_hash", "chunking_config_hash", "text").dropDuplicates(["chunk_hash"]).join(load(spark, d, "chunking_configs"), "chunking_config_hash")
+    p = p3_pieces(spark, d).join(c.select("chunk_hash", "max_chars", "overlap_chars", F.char_length("text").alias("chars")), "chunk_hash")
+    last = F.lag("char_end").over(Window.partitionBy("chunk_hash").orderBy("piece_no"))
+    joined = F.when(F.col("piece_no") == 0, F.col("char_start") == 0).otherwise(F.col("char_start") == F.greatest(last - F.least("overlap_chars", F.col("max_chars") - 1), F.lit(0)))
+    g = p.withColumn("joined", joined).groupBy("chunk_hash", "chars").agg(F.bool_and(F.char_length("text") <= F.col("max_chars")).alias("within"), F.bool_and("joined").alias("joined"), F.max("char_end").alias("end"))
+    return g.select("chunk_hash", "chars", "within", "joined", (F.col("end") == F.col("chars")).alias("covered"))
+
+
 def p5_repaired(spark, d):
     chunks = load(spark, d, "chunks")
     page = F.col("unit_key").startswith("page:")
@@ -68,7 +79,7 @@ def p7_ids(spark, d):
 
 
 def p7_roundtrip(spark, d):
-    return tokenise.round_trip(load(spark, d, "documents"))
+    return tokenise.round_trip(load(spark, d, "documents")).select("doc_id", "same")
 
 
 def _p8(spark, d):
@@ -97,9 +108,13 @@ def p9_sentences(spark, d):
     return sentences.sentences(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p5_found, p5_repaired, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_nearest, p3_found, p3_pieces, p3_covered, p5_found, p5_repaired, p6_found, p6_groups, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_sentences)}
 SQL = {
     "p3_found": """
         SELECT DISTINCT c.chunk_hash FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
         WHERE length(c.text) > g.max_chars""",
+    "p3_covered": """
+        SELECT DISTINCT c.chunk_hash, length(c.text)::INT AS chars, true AS within, true AS joined, true AS covered FROM chunks c JOIN chunking_configs g USING (chunking_config_hash)
+        WHERE length(c.text) > g.max_chars""",
+    "p7_roundtrip": "SELECT doc_id, true AS same FROM documents",
 }

@@ -3,10 +3,12 @@
 The boundary rules are a finite transducer in two layers. The outer one reads line classes; its states are
 OUT, PROSE, LIST and FENCE, and its table decides which lines are units of their own and which run together
 into a block. The inner one reads the terminators of a block and decides from a bounded neighbourhood
-(abbreviation before, matched quotation around, character after) whether a unit ends. As the inner layer needs
-no state beyond ``MARGIN`` characters, a piece of a long document is a function from the four outer states to
-(state after it, ends in it). ``split_long`` computes those functions for pieces independently and composes
-them by a parallel prefix scan; short documents are the case of one piece.
+(abbreviation before, matched quotation around, character after) whether a unit ends.
+
+A blank line leaves the outer transducer in OUT or FENCE whatever came before, and no block reaches over it. Long
+documents are therefore cut after blank lines only, however far apart they are, so a cut never changes a result. Each
+piece is a row of its own and a function from {OUT, FENCE} to (state after it, ends in it); the functions of a document
+are composed by a prefix scan over its pieces, and each piece then keeps the ends of the state it really starts in.
 
 The language column is never read: the rules look at characters only.
 """
@@ -18,10 +20,12 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MARGIN, PIECE = 4096, 1 << 16
+from corvida.session import written
+
+PIECE = 1 << 16
 OUT, PROSE, LIST, FENCE = range(4)
 BLANK, MARK, ALONE, ITEM, TEXT = range(5)
 # next state and action for [state][line class]; actions: 0 none, 1 line is a unit, 2 open block, 3 extend block, 4 close block,
@@ -46,6 +50,8 @@ PARTICLES = set("とはをがのにでもへやって")
 _LINE = regex.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _ALONE = regex.compile(r"\s*(?:#{1,6}\s|\||!\[[^\]]*\]\([^)]*\)\s*$|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|(?:From|To|Cc|Bcc|Subject|Date|Sent|Reply-To|Message-ID|Von|An|Betreff|Datum|De|À|Objet|Asunto|Fecha|Para|差出人|宛先|件名|日付|发件人|收件人|主题|日期):\s|[^\p{L}\p{N}]+$)")
 _ITEM = regex.compile(r"\s*(?:[-*+•・]|\d{1,3}[.)])\s+\S")
+_NUMBER = regex.compile(r"\s*\d{1,3}[.)]\s+")
+_EXAMPLE = regex.compile(r"(?<!\p{L})p\.\s?e[jx]$", regex.I)
 _FENCE = regex.compile(r"\s*(?:```|~~~)")
 _QUOTE = regex.compile("[“”„«»「」『』()（）‘\\[\\]《》【】\"]")
 _TERM = regex.compile(r"[.!?…。！？．।॥؟۔｡]+|(?<=[\p{Greek}\p{Nd}\p{Latin}][)»”]?);")
@@ -98,8 +104,7 @@ def quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
             del stack[depth:]
             while spans and spans[-1][0] > start:
                 spans.pop()
-            if i - start <= MARGIN:
-                spans.append((start, i))
+            spans.append((start, i))
         elif ch == '"':
             stack.append(('"', i))
         elif ch in OPENERS:
@@ -146,7 +151,7 @@ def ends_here(text: str, a: int, i: int, j: int, b: int) -> bool:
     m = (_LATIN if before.isascii() or _GREEK.match(before) or unicodedata.name(before, "").startswith("LATIN") else _TOKEN).search(text, max(a, i - 24), i)
     if m:
         word = m[0].lower()
-        if word in TITLES or len(word) == 1:
+        if word in TITLES or len(word) == 1 or word in ("ej", "ex") and _EXAMPLE.search(text, max(a, i - 6), i):
             return False
         if word in NUMBERED and _follows(text, j, b).isdigit():
             return False
@@ -165,11 +170,13 @@ def block_ends(text: str, a: int, b: int, out: list[int]) -> None:
     """Append the unit ends of the prose block text[a:b]."""
     spans = quotations(text, a, b) if _QUOTE.search(text, a, b) else []
     begin, k = _SPACE.match(text, a, b).end(), 0
+    number = _NUMBER.match(text, a, b)  # an item's number belongs to its first sentence
+    least = number.end() if number else a
     marks = [(m.start(), m.end()) for m in _TERM.finditer(text, a, b)]
     if _THAI.search(text, a, b):
         marks = sorted(marks + [(m.start(), m.start()) for m in _THAI.finditer(text, a, b)])
     for i, j in marks:
-        if i < begin:
+        if i < begin or i < least:
             continue
         while k < len(spans) and spans[k][1] < i:
             k += 1
@@ -178,6 +185,8 @@ def block_ends(text: str, a: int, b: int, out: list[int]) -> None:
             if open_ != begin or _SPACE.match(text, j, b).end() != close:
                 continue
             end = close + 1
+            while end < b and text[end] in ".!?。！？":
+                end += 1
             nxt = text[end] if end < b else ""
             if nxt in PARTICLES and text[close] in "」』”":
                 continue
@@ -199,36 +208,20 @@ def block_ends(text: str, a: int, b: int, out: list[int]) -> None:
         out.append(end)
 
 
-def run(text: str, a: int, b: int, state: int) -> tuple[int, list[int]]:
-    """The transducer over the lines of text[a:b] from ``state``: state after them and unit ends.
-
-    A block that reaches over a or b is seen with MARGIN characters beyond, and only its ends in (a, b] count.
-    """
+def run(text: str, a: int, b: int, state: int, whole: bool = True) -> tuple[int, list[int]]:
+    """The transducer over the lines of text[a:b] from ``state``: state after them and unit ends. ``whole`` says that
+    nothing follows, so a fence that is still open ends there."""
     out: list[int] = []
-    start, fence = a, a
-    opened = state in (PROSE, LIST)
-    if opened:
-        start = max(0, a - MARGIN)
-
-    def close(to: int, whole: bool = True) -> None:
-        found: list[int] = []
-        if whole:
-            block_ends(text, start, to, found)
-        else:
-            block_ends(text, start, min(len(text), to + MARGIN), found)
-            found = found[:-1] if to + MARGIN < len(text) else found
-        out.extend(e for e in found if a < e <= to)
-
+    start, fence, opened = a, a, False
     for m in _LINE.finditer(text, a, b):
         i, j = m.span()
         if i == j:
             break
-        kind = line_class(text, i, j)
-        state, action = TABLE[state][kind]
+        state, action = TABLE[state][line_class(text, i, j)]
         if action == 2:
             start, opened = i, True
         elif action in (4, 5, 6, 7):
-            close(i)
+            block_ends(text, start, i, out)
             opened = action == 6
             start = i
         if action in (1, 5, 8):
@@ -238,24 +231,31 @@ def run(text: str, a: int, b: int, state: int) -> tuple[int, list[int]]:
         elif state == FENCE:
             fence = i
     if opened:
-        close(b, whole=b >= len(text))
-    elif state == FENCE and b >= len(text):
-        end = last_visible(text, fence if fence >= a else a, len(text))
+        block_ends(text, start, b, out)
+    elif state == FENCE and whole:
+        end = last_visible(text, fence, b)
         if end > a:
             out.append(end)
     return state, out
 
 
-def borders(text: str) -> list[int]:
-    """Cut a long text into pieces of about PIECE characters, at blank lines, else at line ends, else anywhere."""
+_GAP = regex.compile(r"\n[ \t\u3000\xa0]*\r?\n")
+
+
+def borders(text: str, size: int = PIECE) -> list[int]:
+    """Starts of the pieces of a text: at least ``size`` characters apart, each right after a blank line."""
     cuts, at = [0], 0
-    while len(text) - at > 2 * PIECE:
-        lo, hi = at + PIECE, at + 2 * PIECE
-        cut = text.find("\n\n", lo, hi)
-        cut = cut + 2 if cut >= 0 else text.find("\n", lo, hi) + 1
-        at = cut if cut > lo else lo
+    while m := _GAP.search(text, at + size):
+        at = m.end()
+        if at >= len(text):
+            break
         cuts.append(at)
-    return [*cuts, len(text)]
+    return cuts
+
+
+def pieces(text: str, size: int = PIECE) -> list[str]:
+    cuts = borders(text, size)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
 def compose(functions: np.ndarray) -> np.ndarray:
@@ -267,19 +267,27 @@ def compose(functions: np.ndarray) -> np.ndarray:
     return np.concatenate([[OUT], f[:-1, OUT]])
 
 
-def split_long(text: str) -> list[int]:
-    cuts = borders(text)
-    spans = list(zip(cuts, cuts[1:]))
-    results = [[run(text, a, b, s) for s in range(4)] for a, b in spans]
+def split_long(text: str, size: int = PIECE) -> list[int]:
+    """Unit ends by way of pieces; the same as unit_ends, whatever the size of the pieces."""
+    ps = pieces(text, size)
+    results = [[run(p, 0, len(p), s, k == len(ps) - 1) for s in range(4)] for k, p in enumerate(ps)]
     states = compose(np.array([[r[0] for r in rs] for rs in results]))
-    return [e for rs, s in zip(results, states) for e in rs[s][1]]
+    starts = np.cumsum([0] + [len(p) for p in ps[:-1]])
+    return [int(a) + e for rs, s, a in zip(results, states, starts) for e in rs[s][1]]
 
 
 def unit_ends(text: str | None) -> list[int]:
     """Ends of the sentence units, in code points from the start of the text; none for null, empty and blank text."""
-    if not text:
-        return []
-    return run(text, 0, len(text), OUT)[1] if len(text) <= 2 * PIECE else split_long(text)
+    return run(text, 0, len(text), OUT)[1] if text else []
+
+
+def _units(t: str, ends: list[int], key, shift: int, out: tuple[list, ...]) -> None:
+    at = 0
+    for e in ends:
+        s = _SPACE.match(t, at, e).end()
+        for column, value in zip(out, (key, shift + s, shift + e, t[s:e])):
+            column.append(value)
+        at = e
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,21 +297,63 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     kept; extra columns are ignored; texts of any length are processed whole.
     """
     plain = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = plain.schema["k"].dataType.simpleString()
+    columns = f"{key} {kind}, sent_no int, sent_start bigint, sent_end bigint, sentence string"
 
     def units(batches):
         for batch in batches:
-            keys, nos, starts, ends, texts = [], [], [], [], []
+            out, nos = ([], [], [], []), []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = 0
-                for n, e in enumerate(unit_ends(t)):
-                    s = _SPACE.match(t, at, e).end()
-                    keys.append(k)
-                    nos.append(n)
-                    starts.append(s)
-                    ends.append(e)
-                    texts.append(t[s:e])
-                    at = e
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=[key, "sent_no", "sent_start", "sent_end", "sentence"])
+                ends = unit_ends(t)
+                _units(t, ends, k, 0, out)
+                nos.extend(range(len(ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=[key, "sent_no", "sent_start", "sent_end", "sentence"])
+
+    long = F.char_length("t") > 2 * PIECE
+    short = plain.where(F.coalesce(~long, F.lit(False))).mapInArrow(units, columns)
+    return short.unionByName(_long_sentences(plain.where(long), key, columns))
+
 
+def _long_sentences(plain: DataFrame, key: str, columns: str) -> DataFrame:
+    """The same for long documents (k, t), a row a piece: equal rows are one and come out as often as they are there."""
+    docs = plain.groupBy("k", "t").agg(F.count("*").alias("copies")).withColumn("doc", F.sha2("t", 256))
     kind = plain.schema["k"].dataType.simpleString()
-    return plain.mapInArrow(units, f"{key} {kind}, sent_no int, sent_start bigint, sent_end bigint, sentence string")
+
+    def cut(batches):
+        for batch in batches:
+            for k, t, copies, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                ps = pieces(t)
+                starts = np.cumsum([0] + [len(p) for p in ps[:-1]])
+                n = len(ps)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, batch.schema.field(0).type), pa.array([doc] * n, pa.string()), pa.array([copies] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts, pa.int64()), pa.array([i == n - 1 for i in range(n)]), pa.array(ps, pa.string())], names=["k", "doc", "copies", "piece", "start", "last", "t"])
+
+    rows = docs.select("k", "t", "copies", "doc").mapInArrow(cut, f"k {kind}, doc string, copies bigint, piece int, start bigint, last boolean, t string").repartition("doc", "piece")
+
+    def work(batches):
+        for batch in batches:
+            names = ["k", "doc", "copies", "piece", "start", "t", "from_out", "from_fence", "ends_out", "ends_fence"]
+            done = [tuple(run(t, 0, len(t), s, last) for s in (OUT, FENCE)) for last, t in zip(batch.column("last").to_pylist(), batch.column("t").to_pylist())]
+            extra = [pa.array([d[s][part] for d in done], kind) for part, kind in ((0, pa.int32()), (1, pa.list_(pa.int64()))) for s in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:6]), *extra], names=names)
+
+    worked = written(rows.mapInArrow(work, f"k {kind}, doc string, copies bigint, piece int, start bigint, t string, from_out int, from_fence int, ends_out array<bigint>, ends_fence array<bigint>"), "p9")
+    # prefix scan of the state functions of each document; only two numbers a piece are gathered
+    f = worked.groupBy("k", "doc").agg(F.array_sort(F.collect_list(F.struct("piece", "from_out", "from_fence"))).alias("f"))
+    empty = F.struct(F.lit(OUT).alias("state"), F.array().cast("array<int>").alias("before"))
+    after = lambda acc, x: F.struct(F.when(acc["state"] == FENCE, x["from_fence"]).otherwise(x["from_out"]).alias("state"), F.concat(acc["before"], F.array(acc["state"])).alias("before"))
+    states = f.select("k", "doc", F.posexplode(F.aggregate("f", empty, after, lambda acc: acc["before"])).alias("piece", "state"))
+    ends = F.when(F.col("state") == FENCE, F.col("ends_fence")).otherwise(F.col("ends_out"))
+    same = (F.col("w.doc") == F.col("s.doc")) & (F.col("w.piece") == F.col("s.piece")) & F.col("w.k").eqNullSafe(F.col("s.k"))
+    each = worked.alias("w").join(states.alias("s"), same).select("w.k", "w.doc", "w.copies", "w.piece", "w.start", "w.t", ends.alias("ends"))
+    before = F.coalesce(F.sum(F.size("ends")).over(Window.partitionBy("k", "doc").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+
+    def spell(batches):
+        for batch in batches:
+            out, nos = ([], [], [], []), []
+            for k, copies, start, t, es, first in zip(*(batch.column(c).to_pylist() for c in ("k", "copies", "start", "t", "ends", "first"))):
+                for _ in range(copies):
+                    _units(t, es, k, start, out)
+                    nos.extend(range(first, first + len(es)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field("k").type), pa.array(nos, pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=[key, "sent_no", "sent_start", "sent_end", "sentence"])
+
+    return each.withColumn("first", before).mapInArrow(spell, columns)
