@@ -12,7 +12,7 @@ def _stream(spark, d, name):
 
 
 def stream_hourly_metrics(spark, d):
-    return metrics.hourly(_stream(spark, d, "events"))
+    return metrics.hourly_complete(_stream(spark, d, "events"))
 
 
 def stream_settle_once(spark, d):

@@ -32,7 +32,9 @@ def scan_folder(spark: SparkSession, folder: str, most_bytes: int = 256 << 20, r
     """
     name = F.element_at(F.split("path", "/"), -1)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    listed = raw.select("path", "length", name.alias("name"), media_type(name).alias("media_type"), quarantine_reason(name, F.col("length"), most_bytes).alias("held")).where(~ignored(F.col("name"), rules or []))
+    reason = quarantine_reason(name, F.col("length"), most_bytes)
+    held = F.when(reason == "too_large", reason).when(reason.isNotNull(), "secret")
+    listed = raw.select("path", "length", name.alias("name"), media_type(name).alias("media_type"), held.alias("held")).where(~ignored(F.col("name"), rules or []))
     free = [r.path for r in listed.where("held is null").select("path").collect()]  # names of one folder's direct files
     held = listed.where("held is not null").select("name", F.col("length").alias("size"), F.lit(None).cast("string").alias("raw_hash"), "media_type", "held")
     if not free:

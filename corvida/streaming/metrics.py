@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from corvida.session import shared_dir
 
 
-def hourly_parts(events: DataFrame, late: str = "2 hours") -> DataFrame:
+def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Counts and sums per hour and type of what arrives in time, in partial rows of each micro-batch's windows."""
     cents = F.round(F.col("value") * 100).cast("bigint")
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(cents).alias("cents")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "cents")
 
 
-def hourly(events: DataFrame, name: str = "hourly") -> DataFrame:
+def hourly_complete(events: DataFrame, name: str = "hourly") -> DataFrame:
     """Counts and sums per hour and type of a drained stream: nothing is lost, however rows fall into micro-batches.
 
     Each micro-batch writes its own partial sums under its number, so one that runs twice replaces itself; late rows

@@ -35,7 +35,7 @@ def test_golden_ids(spark):
 
 
 def test_text_functions(spark):
-    r = one(spark, text.duration_seconds(F.lit("15m")), text.duration_seconds(F.lit("0s")), text.filename_context(F.lit("my_reportFinal-v2.pdf")), text.fence_for(F.lit("a ```` b")), text.column_number(F.lit("AA")), text.is_utc_timestamp(F.lit("2024-02-30T00:00:00Z")), text.secret_tier(F.lit("server.PEM")), text.redact_paths(F.lit("at /home/u/x.txt now")), text.nfc(F.lit("e" + chr(0x301))))
+    r = one(spark, text.duration_seconds(F.lit("15m")), text.duration_seconds(F.lit("0s")), text.filename_context(F.lit("my_reportFinal-v2.pdf")), text.fence_for(F.lit("a ````` b\n ```` c")), text.column_number(F.lit("AA")), text.is_utc_timestamp(F.lit("2024-02-30T00:00:00Z")), text.secret_tier(F.lit("server.PEM")), text.redact_paths(F.lit("at /home/u/x.txt now")), text.nfc(F.lit("e" + chr(0x301))))
     assert list(r) == [900, None, "my report Final v2", "`````", 27, False, "A", "at <path>/x.txt now", "é"]
     assert text.glob_to_regex("a/**/b?.md") == r"^a/(?:.*/)?b[^/]\.md$"
 
@@ -182,7 +182,7 @@ def test_sources(spark, tmp_path):
         z.writestr("xl/worksheets/s.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2</v></c></row><row><c r="A2"/></row><row><c r="C3"><v>7</v></c></row></sheetData></worksheet>')
     books = spark.createDataFrame([("b.xlsx", bytearray(buf.getvalue())), ("bad.xlsx", bytearray(b"no"))], "path string, content binary")
     rows = {r.path: r for r in files.decode_workbooks(books).collect()}
-    assert rows["b.xlsx"].markdown == "| name | 2 |\n| --- | --- |\n|  | 7 |" and rows["bad.xlsx"].error == "BadZipFile"
+    assert rows["b.xlsx"].markdown == "| name | 2 |\n| --- | --- |\n\n7" and rows["bad.xlsx"].error == "BadZipFile"
     with pytest.raises(FileExistsError):
         files.restore(spark.createDataFrame([("a.md", bytearray(b"1"))], "name string, content binary"), str(tmp_path))
 
