@@ -8,7 +8,7 @@ Everything is learned from the corpus itself, by contrast with texts that were n
   put the same question; gradient-boosted trees learn to tell the two apart and rank the candidates. What looks
   like a rare clean word is left alone.
 * Lines. Lines at a page's edges are generalised into templates (digits masked, one word open) and counted at
-  edges, inside pages and in clean texts. Three boosted classifiers look at pairs of lines: whether an edge line
+  edges, inside pages and in titles. Three boosted classifiers look at pairs of lines: whether an edge line
   and its neighbour part at running header or page number, whether the hyphen between two lines goes, and whether
   the line break between two lines stays.
 
@@ -368,8 +368,11 @@ def pair_shape(s: str, before: str | None, after: str | None, top: int, bottom:
     ]
 
 
-def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFrame:
-    """record_table, record_key, lines: numbers of the lines that are running headers or page numbers."""
+def furniture(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """record_table, record_key, lines: numbers of the lines that are running headers or page numbers.
+
+    Templates are counted at edges, inside all pages and in all titles.
+    """
     at_edge = (F.col("top") < EDGE) | (F.col("bottom") < EDGE)
     every = text_lines(pages, "record_table", "record_key")
     edges = written(with_halves(every.where(at_edge & (F.col("top") + F.col("bottom") > 0))), "p5edges")
@@ -391,11 +394,10 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
     longest = 2 * (running.agg(F.max("size")).first()[0] or 0)
     short = F.char_length("s") <= longest
     inner = every.where(~at_edge).withColumn("weight", F.lit(1))
-    other = text_lines(clean.select(F.lit("clean").alias("record_table"), "record_key", "text"), "record_table", "record_key").withColumn("weight", F.lit(1))
     once = titles.groupBy("text").agg(F.count("*").cast("int").alias("weight")).where(F.col("text").rlike(r"\S"))
-    title = text_lines(once.select(F.lit("title").alias("record_table"), F.lit("").alias("record_key"), "text", "weight"), "record_table", "record_key", "weight")
-    rest = written(shared(with_halves(inner.unionByName(other).unionByName(title).where(short)), halves_of(running, 1)).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
-    outside = F.col("record_table").isin("clean", "title")
+    title = text_lines(once.select(F.lit("title").alias("record_table"), F.col("text").alias("record_key"), "text", "weight"), "record_table", "record_key", "weight")
+    rest = written(shared(with_halves(inner.unionByName(title).where(short)), halves_of(running, 1)).withColumn("t", line_templates()).select(*context, "weight", "t"), "p5rest")
+    outside = (F.col("record_table") == "title")
     elsewhere = rest.select(outside.alias("o"), "weight", F.explode("t").alias("t")).groupBy("t.template").agg(F.sum(F.when(F.col("o"), 0).otherwise(F.col("weight"))).alias("n_inner"), F.sum(F.when(F.col("o"), F.col("weight")).otherwise(0)).alias("n_other"))
     stats = written(repeated.join(elsewhere, "template", "left").fillna(0, ["n_inner", "n_other"]), "p5templates")
 
@@ -408,7 +410,7 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
 
     feats = written(judged(edge, 1), "p5lines")
     plain = written(judged(rest, 0), "p5plain")
-    # sure positives repeat at edges and hardly elsewhere; lines of clean texts and inside pages are negatives, but for
+    # sure positives repeat at edges and hardly elsewhere; lines inside pages and titles are negatives, but for
     # those inside pages that repeat at edges: a page cut across two prints has a header in its middle
     sure = (F.col("n_edge") >= 3) & (F.col("n_edge") > 10 * F.col("n_other")) & (F.col("n_edge") > 3 * F.col("n_inner")) & (F.col("most_other") <= F.col("n_edge"))
     astray = plain.where(sure & ~outside)
@@ -423,8 +425,8 @@ def furniture(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataFram
         return np.hstack([np.stack([p["v"], np.log1p(p["n_edge"]), np.log1p(p["n_inner"]), np.log1p(p["n_other"]), p["open"], np.log1p(p["most_other"]), np.log1p(p["most_edge"])], axis=1).astype(float), shape])
 
     if len(train):
-        # lines inside pages and of clean texts are seen as if at an edge, so their place tells nothing
-        plain_rows = (train["top"] >= EDGE) & (train["bottom"] >= EDGE) | train["record_table"].isin(["clean", "title"])
+        # lines inside pages and titles are seen as if at an edge, so their place tells nothing
+        plain_rows = (train["top"] >= EDGE) & (train["bottom"] >= EDGE) | (train["record_table"] == "title")
         turn = np.arange(len(train)) % 2 == 0
         train.loc[plain_rows & turn, ["top", "bottom"]] = [0, 9]
         train.loc[plain_rows & ~turn, ["top", "bottom"]] = [9, 0]
@@ -606,7 +608,7 @@ def repair_pages(pages: DataFrame, clean: DataFrame, titles: DataFrame) -> DataF
     counts = written(count_tokens(pages, clean), "p5counts")
     hyphens = broken_words(pages, counts).where("not joined").select(F.concat_ws("\n", "l", "r").alias("token"), F.lit("-").alias("replacement"))
     words = written(corrections(counts, candidates(counts)).unionByName(hyphens), "p5words")
-    lines = furniture(pages, clean, titles)
+    lines = furniture(pages, titles)
     base = pages.join(lines, ["record_table", "record_key"], "left")
     breaks = join_model(pages, clean)
     if words.count() <= MOST_BROADCAST:
