@@ -1,8 +1,8 @@
 """References to records that do not exist (orphan references).
 
-``find_orphans`` never shuffles the wide reference rows against the parents. It reduces the references to
-distinct non-null keys, decides each key once against the pre-aggregated parents (left anti join for keys
-that lead nowhere, a verdict for removed and late parents), and joins only the suspicious keys back.
+``find_orphans`` reduces the references to distinct non-null keys before they meet the parents, decides each key once
+against the pre-aggregated parents (left anti join for keys that lead nowhere, a verdict for removed and late
+parents), and joins only the suspicious keys back to the narrow reference rows.
 """
 
 from __future__ import annotations
@@ -73,10 +73,9 @@ def count_orphans(orphans: DataFrame) -> DataFrame:
 
 def archive_references(pointers: DataFrame, findings: DataFrame) -> DataFrame:
     """The references of the archive's own tables: three fields of a pointer, one array field of a finding."""
-    out = None
-    for field in ("chunk_hash", "raw_hash", "commit_hash"):
-        part = references(pointers, "evidence_pointers", field, "pointer_id", "scope_id", F.col(field), "cited_at")
-        out = part if out is None else out.unionByName(part)
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("key")) for f in ("chunk_hash", "raw_hash", "commit_hash")])  # one scan for all three
+    each = pointers.select(F.lit("evidence_pointers").alias("ref_table"), F.col("pointer_id").cast("bigint").alias("ref_rowid"), F.col("scope_id").alias("scope"), F.col("cited_at").alias("at"), F.explode(fields).alias("f"))
+    out = each.select("ref_table", F.col("f.field").alias("ref_field"), "ref_rowid", "scope", F.col("f.key").alias("ref_key"), "at").where("ref_key is not null and ref_key <> ''")
     elements = findings.select("finding_id", "scope_id", F.explode("affected_commits").alias("e"), "found_at")
     return out.unionByName(references(elements, "object_findings", "affected_commits", "finding_id", "scope_id", F.col("e"), "found_at"))
 
