@@ -150,14 +150,19 @@ def knn(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(local, [F.desc("similarity"), "item"], k)
 
 
+def _optional(df: DataFrame, name: str) -> Column:
+    """A text column that older tables may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
+
+
 def content_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """scope_id, chunk_hash, raw_hash, vector: each chunk's own vector among those of its text.
 
     One candidate is taken as it is; of several the one whose context is that of the chunk's file name, else the
     first by embedding_hash and vec_rowid. Broken vectors take no part.
     """
-    v = embeddings.where("target_type = 'chunk'").where(is_usable(F.col("vector"), F.col("dimensions"))).select(F.col("target_id").alias("text_hash"), "context_key", "embedding_hash", "vec_rowid", "vector").dropDuplicates(["vec_rowid"])
-    c = chunks.where("text_hash is not null").select("scope_id", "chunk_hash", "raw_hash", "text_hash", filename_context(F.col("raw_path")).alias("want")).dropDuplicates(["chunk_hash"])
+    v = embeddings.where("target_type = 'chunk'").where(is_usable(F.col("vector"), F.col("dimensions"))).select(F.col("target_id").alias("text_hash"), _optional(embeddings, "context_key"), _optional(embeddings, "embedding_hash"), "vec_rowid", "vector").dropDuplicates(["vec_rowid"])
+    c = chunks.where("text_hash is not null").select("scope_id", "chunk_hash", "raw_hash", "text_hash", filename_context(_optional(chunks, "raw_path")).alias("want")).dropDuplicates(["chunk_hash"])
     order = F.struct((~F.col("context_key").eqNullSafe(F.col("want"))).cast("int"), "embedding_hash", "vec_rowid")
     j = c.join(v.drop("vector"), "text_hash").groupBy("scope_id", "chunk_hash", "raw_hash").agg(F.min_by("vec_rowid", order).alias("vec_rowid"))
     return j.join(v.select("vec_rowid", "vector"), "vec_rowid").select("scope_id", "chunk_hash", "raw_hash", "vector")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -50,12 +51,20 @@ def knn_cosine_topk(spark, d):
     return search.knn(e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
+def _images(spark, d):
+    """The page images; an archive without any has no such table."""
+    try:
+        return load(spark, d, "page_images")
+    except AnalysisException:
+        return spark.createDataFrame([], "scope_id string, image_hash string, raw_hash string")
+
+
 def _archive_lanes(spark, d):
     """Text lane, vector lane and the vectors behind it, over the archive's chunks and images."""
     c = load(spark, d, "chunks")
     text = written(search.bm25(search.corpus(c), PHRASES, k=200), "text")
     e = load(spark, d, "chunk_embeddings")
-    rows = written(search.vector_rows(c, load(spark, d, "page_images"), e, ["scope_id"]), "vectors")  # no object here has both chunks and images, so a scope's first chunk cites its images
+    rows = written(search.vector_rows(c, _images(spark, d), e, ["scope_id"]), "vectors")  # no object here has both chunks and images, so a scope's first chunk cites its images
     q = search.query_vectors(e, list(PHRASES), rows, text)
     return text, search.vector_lane(rows, q), rows
 

@@ -26,7 +26,7 @@ def test_secret_tiers_and_media_types(spark):
     names = ["a/.env.production", "id_rsa.pub", ".ssh/known_hosts", "x/.ssh/known", "/.AWS/config", "state.tfstate.backup", ".pypirc", "my-Credentials.txt", "credential.txt", "notes.md", None]
     assert column(spark, names, text.secret_tier) == ["A", "A", "A", None, "A", "A", "A", "B", None, None, None]
     assert column(spark, ["A.MARKDOWN", "m.rs", "p.webp", "p.html", ".md", "noext"], text.media_type) == ["text/markdown", "text/x-code", "image/webp", "application/octet-stream", "application/octet-stream", "application/octet-stream"]
-    assert column(spark, ["a/b-c_dE2F.tar.gz", "---.md", ".hidden"], text.filename_context) == ["b c d E2 F.tar", None, ".hidden"] or column(spark, ["a/b-c_dE2F.tar.gz"], text.filename_context) == ["b c d E2 F.tar"]
+    assert column(spark, ["a/b-c_dE2F.tar.gz", "---.md", ".hidden"], text.filename_context) == ["b c d E2 F.tar", None, ".hidden"]
 
 
 def test_detectors(spark):
@@ -39,10 +39,10 @@ def test_detectors(spark):
 
 
 def test_markdown_forms(spark):
-    assert column(spark, ["期限 7\\/10", "&lt;div&gt;", "&amp;amp\;", "`a\\*` \\*", "```\n\\*\n```", "Q&A", None], markdown.resolved) == ["期限 7/10", "<div>", "&amp;", "`a\\*` *", "```\n\\*\n```", "Q&A", None]
+    assert column(spark, ["期限 7\\/10", "&lt;div&gt;", "&amp;amp\\;", "`a\\*` \\*", "```\n\\*\n```", "Q&A", None], markdown.resolved) == ["期限 7/10", "<div>", "&amp;", "`a\\*` *", "```\n\\*\n```", "Q&A", None]
     assert markdown.normal_form(chr(0xFEFF) + "T\r\n===\r\na  \n\n\n") == "# T\na\n"
     assert [markdown.form_error(t) for t in ("a\n", "a", "a \n", "~~~\n", "a\n--\n", "<b>\n", "```\n<b>\n```\n")] == [None, "final_newline", "trailing_blank", "tilde_fence", "underlined_heading", "raw_html", None]
-    assert markdown.split_spans("aaa\n\nbbb\n\n\nccc", 0, 14, 9) == [(0, 5), (5, 14)] or markdown.split_spans("aaa\n\nbbb\n\n\nccc", 0, 14, 9)[0] == (0, 5)
+    assert markdown.split_spans("aaa\n\nbbb\n\n\nccc", 0, 14, 9) == [(0, 5), (5, 14)]
     assert markdown.split_spans("x" * 10, 0, 10, 4) == [(0, 4), (4, 8), (8, 10)] and markdown.split_spans("\n\n", 0, 2, 9) == []
     with pytest.raises(ValueError):
         markdown.split_spans("a", 0, 1, 0)
@@ -56,7 +56,7 @@ def test_markdown_forms(spark):
 def test_chunks_of_a_document(spark):
     d = spark.createDataFrame([(1, "intro é\n\n# A\nx\n\ny\n# A\nz"), (2, "\n\n\n"), (3, None), (4, "# B\n")], "doc_id bigint, text string")
     rows = [(r.doc_id, r.section_id, r.text, r.byte_end - r.byte_start) for r in chunking.chunks(d, 6).orderBy("doc_id", "byte_start").collect()]
-    assert rows == [(1, None, "intro ", 6), (1, None, "é\n\n", 4), (1, "a", "# A\nx\n", 6), (1, "a", "y\n", 2), (1, "a#2", "# A\nz", 5), (4, "b", "# B\n", 4)] or [r[:2] for r in rows] == [(1, None), (1, None), (1, "a"), (1, "a"), (1, "a#2"), (4, "b")]
+    assert rows == [(1, None, "intro ", 6), (1, None, "é\n\n", 4), (1, "a", "# A\nx\n", 6), (1, "a", "y\n", 2), (1, "a#2", "# A\nz", 5), (4, "b", "# B\n", 4)]
 
 
 def test_cursors_and_selectors():
@@ -172,7 +172,7 @@ def test_adapters_and_pdf(spark, tmp_path):
     assert [r.v for r in back] == [[1.5, -2.0], None]
     body = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld) -300 (next)] TJ ET"
     packed = zlib.compress(body)
-    doc = b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj\n4 0 obj<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream endobj" % (len(packed), packed)
+    doc = b"%%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R>>endobj\n4 0 obj<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream endobj" % (len(packed), packed)
     assert pdf.pages_of(doc) == ["Hello (PDF)\nworld next"]
     f = spark.createDataFrame([("a.pdf", bytearray(doc)), ("b.pdf", bytearray(b"no")), ("c.md", bytearray(b"# x\n"))], "name string, content binary")
     f.createOrReplaceTempView("test_files")
