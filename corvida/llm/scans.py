@@ -122,7 +122,7 @@ def tokens(text: str) -> set[str]:
         text = _BREAK.sub("", text)
     out = {w for w in set(_WORD.findall(text)) if _is_word(w)}
     if "-" in text:
-        out.update(_COMPOUND.findall(text))
+        out.update([m[0] for w in text.split() if "-" in w and (m := _COMPOUND.match(w))])
     if not text.isascii() and _CJK.search(text):
         out |= east_tokens(text)
     return out
@@ -156,12 +156,19 @@ def count_tokens(pages: DataFrame, clean: DataFrame) -> DataFrame:
     """token, n_page, n_clean: in how many page and clean texts each token occurs."""
 
     def count(batches):
+        seen = (Counter(), Counter())
+
+        def rows():
+            every = list(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_pydict({"token": every, "n_page": [seen[0][t] for t in every], "n_clean": [seen[1][t] for t in every]}, schema=pa.schema([("token", pa.string()), ("n_page", pa.int64()), ("n_clean", pa.int64())]))
+
         for batch in batches:
-            seen = (Counter(), Counter())
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[not page].update(tokens(flat(text)))
-            every = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_pydict({"token": every, "n_page": [seen[0][t] for t in every], "n_clean": [seen[1][t] for t in every]}, schema=pa.schema([("token", pa.string()), ("n_page", pa.int64()), ("n_clean", pa.int64())]))
+            if len(seen[0]) + len(seen[1]) > 200_000:  # bounds the memory of a task; what comes again is summed later
+                yield rows()
+                seen = (Counter(), Counter())
+        yield rows()
 
     both = pages.select(F.lit(True).alias("page"), "text").unionByName(clean.select(F.lit(False).alias("page"), "text"))
     return both.mapInArrow(count, "token string, n_page bigint, n_clean bigint").groupBy("token").agg(F.sum("n_page").alias("n_page"), F.sum("n_clean").alias("n_clean"))

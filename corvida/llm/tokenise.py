@@ -63,6 +63,7 @@ class Encoder:
         self.inner = {t[i : i + n] for n in (2, 3) for t in self.ids for i in range(len(t) - n + 1)}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         merges = [(self.ids[raw(a)], self.ids[raw(b)], n, self.ids[raw(a) + raw(b)]) for n, (a, b) in enumerate(pairs)]
+        self.pairs, self.whole = {(m[0], m[1]): (m[2], m[3]) for m in merges}, {}
         table = pa.table({k: pa.array([m[i] for m in merges], pa.int32()) for i, k in enumerate(("l", "r", "rank", "made"))})
         self._table("merges", table)
         self._table("vocabulary", pa.table({"tok": pa.array(list(self.ids.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ids], pa.string())}))
@@ -72,6 +73,22 @@ class Encoder:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def is_token(self, raw: bytes) -> bool:
+        """Whether a word is a token that its merges lead to; a token that merges pass by is no shortcut."""
+        if raw not in self.ids:
+            return False
+        known = self.whole.get(raw)
+        if known is None:
+            toks = [self.ids[bytes([b])] for b in raw]
+            while len(toks) > 1:
+                best = min((self.pairs[p] for p in zip(toks, toks[1:]) if p in self.pairs), default=None)
+                if best is None:
+                    break
+                i = next(i for i, p in enumerate(zip(toks, toks[1:])) if self.pairs.get(p) == best)
+                toks[i : i + 2] = [best[1]]
+            known = self.whole[raw] = toks == [self.ids[raw]]
+        return known
+
     def segments(self, word: bytes) -> list[bytes]:
         """Cut where no token of the vocabulary lies across, so that no merge can ever join the two sides.
 
@@ -90,12 +107,12 @@ class Encoder:
         parts, open_ = {}, {}
         for w in words:
             raw = w.encode()
-            if raw in self.ids:
+            if self.is_token(raw):
                 self.words[w] = (self.ids[raw],)
             else:
                 parts[w] = self.segments(raw)
                 for s in parts[w]:
-                    if s not in self.ids:
+                    if not self.is_token(s):
                         open_.setdefault(s, len(open_))
         done: dict[int, list[int]] = {}
         if open_:
@@ -103,7 +120,7 @@ class Encoder:
             self._table("start", pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate(("word", "pos", "tok"))}))
             done = dict(self.con.execute(ENCODE).fetchall())
         for w, ps in parts.items():
-            self.words[w] = tuple(chain.from_iterable((self.ids[s],) if s in self.ids else done[open_[s]] for s in ps))
+            self.words[w] = tuple(chain.from_iterable((self.ids[s],) if self.is_token(s) else done[open_[s]] for s in ps))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         if len(self.words) > 2_000_000:  # bounds the memory of a long partition; words are encoded again when they recur
