@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from corvida.session import written
+from corvida.session import discard, written
 
 MOST_COMMITS, MOST_ENTRIES, MOST_BYTES = 100_000, 10_000_000, 4 << 30  # Fixed values: ceilings of one history
 
@@ -41,7 +41,9 @@ def places(links: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         up = at.where("jump is not null").groupBy(F.col("jump").alias("node")).agg(F.max(F.struct((F.col("tip.far") + step).alias("far"), F.col("tip.tip").alias("tip"))).alias("up"))
         far = at.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("place").alias("more"))
         wider = at.join(up, "node", "left").join(far, "jump", "left").select("node", F.col("next").alias("jump"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.greatest("tip", F.coalesce("up", "tip")).alias("tip"))
+        last = at
         at, left, _ = _counted(wider, F.col("jump").isNotNull(), "places")
+        discard(last)
         step *= 2
     return at.select("node", F.col("tip.tip").alias("chain"), "place")
 
@@ -71,7 +73,9 @@ def reached(starts: DataFrame, links: DataFrame, at: DataFrame, first_only: bool
     state, left, _ = _counted(s.select("start", "chain", F.col("place").alias("upto"), F.lit(-1).cast("bigint").alias("old")), more, "reached")
     while left:
         fresh = state.where(more).join(cross, "chain").where("place <= upto and place > old").groupBy("start", F.col("to_chain").alias("chain")).agg(F.max("to_place").alias("new"))
+        last = state
         state, left, _ = _counted(state.join(fresh, ["start", "chain"], "full_outer").select("start", "chain", F.greatest("upto", "new").alias("upto"), F.coalesce("upto", F.lit(-1)).alias("old")), more, "reached")
+        discard(last)
     return state.select("start", "chain", "upto")
 
 

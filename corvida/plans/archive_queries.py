@@ -150,6 +150,22 @@ def update_modes(spark, d):
     return c.select("commit_hash", F.round(rate, 9).alias("change_rate"), mode.alias("full_because"))
 
 
+_CITED = ["scope_id", "chunk_hash", "raw_hash", "tool_profile_hash", "section_id", "byte_start", "byte_end", "heading_path"]
+
+
+def exact_citations(spark, d):
+    """Pointers that name a chunk exactly as it is stored: a join on all eight columns of its identity."""
+    p = load(spark, d, "evidence_pointers").select("pointer_id", *_CITED).distinct()
+    return p.join(load(spark, d, "chunks").select(*_CITED).distinct(), _CITED).groupBy("scope_id").agg(F.countDistinct("pointer_id").alias("n"))
+
+
+def historical_chunks(spark, d):
+    """Chunks eligible at each commit: bindings joined to chunks on object, profile and generation, each chunk once."""
+    b = _profiled(spark, d).where("tool_profile_hash is not null").select("commit_hash", "raw_hash", "tool_profile_hash", (F.col("gen") - 1).alias("gen")).distinct()
+    c = load(spark, d, "chunks").where("first_seen_commit is not null").select("raw_hash", "tool_profile_hash", "gen", "chunk_hash").distinct()
+    return b.join(c, ["raw_hash", "tool_profile_hash", "gen"]).select("commit_hash", "chunk_hash").distinct()
+
+
 def binding_counts(spark, d):
     """Bindings of each snapshot and selector."""
     c = _commits(spark, d)
@@ -277,6 +293,8 @@ SQL = {
     "plan_all_history": f"WITH RECURSIVE {_C}, {_B}, {_INTRO}, {_P}, {_REACH}, canon AS (SELECT r.start AS snapshot, f.path, f.raw_hash, min(f.commit_hash) AS commit_hash FROM first f JOIN reach r ON r.commit = f.commit_hash GROUP BY 1, 2, 3), every AS (SELECT DISTINCT r.start AS snapshot, k.path, k.raw_hash, k.tool_profile_hash, k.gen FROM known k JOIN reach r ON r.commit = k.commit_hash) SELECT snapshot, raw_hash, tool_profile_hash, gen, path, commit_hash, EXISTS (SELECT 1 FROM known k WHERE k.commit_hash = v.snapshot AND k.path = v.path AND k.raw_hash = v.raw_hash AND k.tool_profile_hash = v.tool_profile_hash AND k.gen = v.gen) AS is_live FROM every v JOIN canon USING (snapshot, path, raw_hash)",
     "plan_include_deleted": f"WITH RECURSIVE {_C}, {_W}, {_P}, {_LIVE}, {_DEL} SELECT * FROM incl",
     "binding_counts": f"WITH RECURSIVE {_C}, {_W}, {_P}, {_LIVE}, {_DEL} SELECT 'current' AS selector, snapshot, count(*) AS n FROM live GROUP BY 2 UNION ALL SELECT 'include_deleted', snapshot, count(*) FROM incl GROUP BY 2",
+    "exact_citations": "SELECT p.scope_id, count(DISTINCT p.pointer_id) AS n FROM evidence_pointers p JOIN chunks c USING (scope_id, chunk_hash, raw_hash, tool_profile_hash, section_id, byte_start, byte_end, heading_path) GROUP BY 1",
+    "historical_chunks": f"WITH {_P} SELECT DISTINCT k.commit_hash, c.chunk_hash FROM known k JOIN chunks c ON c.raw_hash = k.raw_hash AND c.tool_profile_hash = k.tool_profile_hash AND c.gen = k.gen - 1 WHERE c.first_seen_commit IS NOT NULL",
     "alias_expansion": f"WITH {_B}, t AS (SELECT scope_id, max(raw_hash) AS raw_hash FROM b GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY scope_id) AS rank, raw_hash FROM t), a AS (SELECT DISTINCT rank, path, commit_hash FROM r JOIN b USING (raw_hash)) SELECT *, row_number() OVER (PARTITION BY rank ORDER BY path, commit_hash) AS alias_no FROM a",
     "ancestor_test": f"WITH RECURSIVE {_C}, {_ANC}, {_ENDS} SELECT ancestor, descendant, ancestor = descendant OR EXISTS (SELECT 1 FROM anc WHERE anc.start = descendant AND anc.commit = ancestor) AS is_ancestor FROM pairs",
     "acyclic_check": "SELECT count(DISTINCT commit_hash) AS placed, count(DISTINCT commit_hash) AS every, true AS acyclic FROM commits",

@@ -250,6 +250,14 @@ def durations(spark, d):
     return e.select("t", text.duration_seconds(F.col("t")).alias("seconds"))
 
 
+def since_cutoffs(spark, d):
+    """The moment a duration before each event; some durations are none, some reach beyond the calendar."""
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("s", "m", "h", "d", "w", "x")]), (F.col("event_id") % 6 + 1).cast("int"))
+    n = F.when(F.col("event_id") % 11 == 0, "99999999").otherwise((F.col("event_id") % 50).cast("string"))
+    e = load(spark, d, "events").select("event_id", text.since_cutoff(F.date_trunc("second", "ts").cast("timestamp"), F.concat(n, unit)).alias("t"))
+    return e.select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("cutoff"))
+
+
 def utc_validity(spark, d):
     e = load(spark, d, "events").select(F.concat(F.lit("2024-"), F.lpad((F.col("event_id") % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("event_id") % 33).cast("string"), 2, "0"), F.lit("T10:00:00Z")).alias("t")).distinct()
     return e.select("t", text.is_utc_timestamp(F.col("t")).alias("valid"))
@@ -381,6 +389,9 @@ SQL = {
     "code_fences": f"SELECT repeat('`', greatest(2, coalesce(list_max(list_transform(regexp_extract_all(text, '(?m)^[{text.WHITE}]*(`+)', 1), lambda r: length(r))), 0)) + 1) AS fence, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "excel_dates": "SELECT p_partkey, CASE WHEN p_partkey * 17 % 60000 <= 60 THEN (p_partkey * 17 % 60000)::VARCHAR ELSE strftime(DATE '1970-01-01' + (p_partkey * 17 % 60000 - 25569)::INT, '%Y-%m-%d') END AS day, ((ascii(upper(p_name)[1:1]) - 64) * 26 + ascii(upper(p_name)[2:2]) - 64)::BIGINT AS col_no FROM part",
     "durations": "WITH e AS (SELECT DISTINCT event_id % 50 AS n, ['s','m','h','d','w','x'][event_id % 6 + 1] AS u FROM events) SELECT n || u AS t, nullif(n * CASE u WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 WHEN 'w' THEN 604800 END, 0) AS seconds FROM e",
+    "since_cutoffs": """
+        WITH e AS (SELECT event_id, date_trunc('second', ts) AS t, CASE WHEN event_id % 11 = 0 THEN 99999999 ELSE event_id % 50 END * [1, 60, 3600, 86400, 604800, 0][event_id % 6 + 1] AS s FROM events), x AS (SELECT event_id, epoch(t)::BIGINT - s AS at_second, s FROM e)
+        SELECT event_id, CASE WHEN s > 0 AND at_second >= -62135596800 THEN strftime(TIMESTAMP '1970-01-01' + to_seconds(at_second), '%Y-%m-%d %H:%M:%S') END AS cutoff FROM x""",
     "utc_validity": "WITH e AS (SELECT DISTINCT '2024-' || lpad((event_id % 14)::VARCHAR, 2, '0') || '-' || lpad((event_id % 33)::VARCHAR, 2, '0') || 'T10:00:00Z' AS t FROM events) SELECT t, try_strptime(t, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL AS valid FROM e",
     "vector_validity": "SELECT DISTINCT ON (vec_rowid) vec_rowid, coalesce(vector IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0, false) AS usable FROM chunk_embeddings",
     "truncate_renorm": "WITH c AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM c) SELECT vec_id, round(v[1] / l, 6) AS first, round(1.0::DOUBLE, 6) AS length FROM n",
@@ -394,4 +405,4 @@ SQL = {
         s AS (SELECT doc_id, byte_start, array_to_string(list_filter(list_transform(path, lambda h: {_slug('h')}), lambda x: x <> ''), '/') AS base FROM walk)
         SELECT doc_id, byte_start, base || CASE WHEN row_number() OVER w > 1 THEN '#' || row_number() OVER w ELSE '' END AS section_id FROM s WINDOW w AS (PARTITION BY doc_id, base ORDER BY byte_start)""",
 }
-QUERIES = {f.__name__: f for f in (ids_sha256, chunk_identity, config_ids, chunk_set_digest, verify_text_hash, slugify, section_ids, media_types, filename_contexts, secret_tiers, quarantine, portable_names, name_collisions, sheet_keys, search_units, scope_selection, embedding_inputs, unit_fingerprints, source_escapes, escape_round_trip, indexed_texts, stored_form, form_check, heading_chunks, section_reassembly, sheet_views, read_tables, grid_tables, prompt_hashes, profile_ids, read_quality, window_distance, glob_ignore, script_segments, numeric_equivalents, unit_keys, image_refs, html_detect, code_fences, excel_dates, durations, utc_validity, vector_validity, truncate_renorm, profile_compat_gate, chunk_headings, chunk_section_ids)}
+QUERIES = {f.__name__: f for f in (ids_sha256, chunk_identity, config_ids, chunk_set_digest, verify_text_hash, slugify, section_ids, media_types, filename_contexts, secret_tiers, quarantine, portable_names, name_collisions, sheet_keys, search_units, scope_selection, embedding_inputs, unit_fingerprints, source_escapes, escape_round_trip, indexed_texts, stored_form, form_check, heading_chunks, section_reassembly, sheet_views, read_tables, grid_tables, prompt_hashes, profile_ids, read_quality, window_distance, glob_ignore, script_segments, numeric_equivalents, unit_keys, image_refs, html_detect, code_fences, excel_dates, durations, since_cutoffs, utc_validity, vector_validity, truncate_renorm, profile_compat_gate, chunk_headings, chunk_section_ids)}
