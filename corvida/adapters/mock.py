@@ -63,7 +63,7 @@ def vector_of(blobs: pd.Series) -> pd.Series:
 
 
 # Fields of a tool profile that its identity is made of.
-PROFILE_FIELDS = ["adapter_kind", "adapter_role", "model_or_tool_family", "model_version_pin", "prompt_template_id", "prompt_template_hash", "sampling", "output_schema", "render_params", "dimensions", "distance", "modality", "context_input"]
+PROFILE_FIELDS = ["adapter_kind", "adapter_role", "model_or_tool_family", "model_version_pin", "prompt_template_id", "prompt_template_hash", "sampling", "output_schema", "render_params", "dimensions", "distance", "modality", "input_construction", "runtime_kind", "spec_version"]
 
 
 def profile_id(**fields: Column) -> Column:

@@ -132,7 +132,7 @@ def retries(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("kind", kind).join(F.broadcast(table), "kind").withColumn("retry", retry).withColumn("terminal", (F.col("status") == "failed") & ~retry).drop("retryable", "most")
 
 
-# Which state may follow which.
+# Steps a task may take; chosen here, as the archive records states and does not check their order.
 STEPS = [("pending", "running"), ("pending", "paused"), ("running", "done"), ("running", "partial"), ("running", "failed"), ("running", "paused"), ("paused", "pending"), ("failed", "pending"), ("partial", "pending")]
 
 

@@ -65,7 +65,7 @@ def bm25(rows: DataFrame, queries: dict[str, list[str]], eligible: DataFrame | N
     return ranked(flat, ["score", "scope_id", "chunk_hash"], k)
 
 
-# Term pairs of two languages that stand for each other in queries.
+# Term pairs of two languages that stand for each other in queries; our own small dictionary.
 TERMS = {"retention": "保存期間", "rollback": "復旧", "plan": "計画", "inventory": "棚卸表", "report": "報告書"}
 _SEGMENT = re.compile(r"((?:[\u3041-\u309f]\u30fc*)+|[\u30a1-\u30fa\u30fc-\u30ff]+|[\u4e00-\u9fff々〆]+|[A-Za-z0-9]*[0-9](?:[.,][0-9](?:[A-Za-z0-9]*[0-9])?)*[.,][0-9][A-Za-z0-9]*|[A-Za-z0-9]+)")
 
