@@ -1,5 +1,7 @@
 """Paths that small inputs do not take by themselves give the same results as those they take."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -50,6 +52,46 @@ def test_scans_keep_greek_and_cyrillic():
     assert len(scans.shadow("Ａé" + chr(0x130) + "（x）ﬁ")) == 7
 
 
+def test_scans_look_at_a_word_once_however_many_texts_hold_it(monkeypatch):
+    seen, is_word = [], scans._is_word
+    monkeypatch.setattr(scans, "_is_word", lambda w: seen.append(w) or is_word(w))
+    words = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)]
+    for _ in range(50):
+        assert scans.tokens(" ".join(words)) == set(words)
+    assert len(seen) <= len(words)
+
+
+def test_scans_count_the_tokens_of_all_texts(spark):
+    texts = ["the long-term plan, the proto'koll and re-\nport 12", "カタログの点検記録、カタロ.グの点検\n記録。PDFの記録 plan", "", "カタ口グ plan|", "Ａé（x）ﬁ Москва α-Werte †ext"] * 3
+    pages, clean = texts[:8], texts[8:]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # counts are kept across batches
+    try:
+        got = scans.count_tokens(*(spark.createDataFrame([(x,) for x in side], "text string").coalesce(1) for side in (pages, clean)))
+        got = {r.token: (r.n_page, r.n_clean) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = [Counter(w for x in side for w in scans.tokens(scans.flat(x))) for side in (pages, clean)]
+    assert got == {w: (counts[0][w], counts[1][w]) for w in counts[0] | counts[1]}
+    assert {"~.", "^カタ", "記録$", "long-term", "report", "pdf"} <= got.keys()
+
+
+def test_scans_line_hashes_agree_where_the_parts_do():
+    lines = ["Heft 12 der Reihe Lager", " heft 7 der Reihe Lager ", "Heft 12 der Reihe Werk", "Heft 12 die Reihe Werk", "42", "9", "Lager", "Reihe der 12 Heft Lager", "点検 12 の 記録", "点検１２の記録", "カタログ 記録"]
+    h1, h2, t = scans.line_hashes(lines)
+    t = t.to_pylist()
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines):
+            x, y = (scans._PARTS.findall(scans._DIGITS.sub("9", s.lower())) for s in (a, b))
+            words = [k for k, w in enumerate(x) if len(w) > 1]
+            assert (t[i][0] == t[j][0]) == (x == y)
+            assert (h1[i] == h1[j]) == (len(x) == len(y) and (x[: len(x) // 2] == y[: len(y) // 2] if len(x) > 1 else x == y))
+            assert (h2[i] == h2[j]) == (len(x) == len(y) and x[len(x) // 2 :] == y[len(y) // 2 :])
+            assert len(t[i]) == 1 + (len(words) if len(words) > 1 else 0) == len(set(t[i]))
+            apart = [k for k in range(len(x)) if len(x) == len(y) and x[k] != y[k]]
+            assert bool(set(t[i][1:]) & set(t[j][1:])) == (len(x) == len(y) and len(words) > 1 and (not apart or len(apart) == 1 and apart[0] in words and len(y[apart[0]]) > 1))
+    assert scans.line_hashes([])[2].to_pylist() == []
+
+
 def test_scans_decide_alike_with_and_without_broadcast(spark, monkeypatch):
     words = ["protokoll", "nachtschicht", "lieferung", "messbericht", "wartung", "anlage"]
     clean = [(f"c{i}", " ".join(words[(i + j) % 6] for j in range(8)) + ".") for i in range(40)]
